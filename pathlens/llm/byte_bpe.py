@@ -33,7 +33,7 @@ STATES = ("fresh", "letters", "numbers", "others", "space", "blank", "quote", "q
 FRESH, LETTERS, NUMBERS, OTHERS, AFTER_SPACE, AFTER_BLANK, AT_QUOTE, QUOTE_R, QUOTE_V, QUOTE_L = range(10)
 #: White space as regular expressions over Unicode define it (the White_Space property).
 WHITE_SPACE = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
-LONG_PIECE, CACHE_ENTRIES, BLOCK_BYTES, COLUMNS = 48, 400_000, 1 << 20, 64
+LONG_PIECE, CACHE_ENTRIES, BLOCK_BYTES, COLUMNS = 48, 1_000_000, 1 << 20, 64
 
 
 def _step(state: int, kind: str) -> int:
@@ -255,7 +255,7 @@ class Vocabulary:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, decoded: bool = False) -> Iterator[pa.RecordBatch]:
     vocabulary = Vocabulary.load(path)
     lengths = np.array([len(t) for t in vocabulary.tokens], np.uint32)
     for batch in batches:
@@ -275,10 +275,12 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
             if len(spans):
                 base = np.concatenate([[0], spans])[edges[:-1]]
                 spans -= np.repeat(base, np.diff(edges))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(low, high - low), _binary(joined, at), _binary(spans.astype("<u4").tobytes(), at)],
-                ["id", "ids", "ends"],
-            )
+            columns = [batch.column(0).slice(low, high - low), _binary(joined, at), _binary(spans.astype("<u4").tobytes(), at)]
+            if decoded:
+                back = vocabulary.decode(np.frombuffer(joined, "<u4").tolist())
+                last = np.concatenate([spans, [0]])[np.maximum(edges[1:] - 1, 0)] * (edges[1:] > edges[:-1])
+                columns.append(_binary(back, np.concatenate([[0], np.cumsum(last)])))
+            yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "ends"] + ["decoded"] * decoded)
 
 
 def _binary(data: bytes, offsets: np.ndarray) -> pa.Array:
@@ -295,16 +297,17 @@ def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([b"".join(map(tokens.__getitem__, x)) for x in ids], pa.binary())], [*batch.schema.names, "decoded"])
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids, ends) for each row: ids and the byte offset at which each token ends, both as
-    little-endian unsigned 32-bit integers.
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """(id, ids, ends[, decoded]) for each row: ids and the byte offset at which each token ends,
+    both as little-endian unsigned 32-bit integers. decoded: the ids are turned back into bytes,
+    and the retained offsets cut those into rows, in the same pass.
 
     A null text counts as empty and has no tokens. Rows are kept as they are, repeated ones too;
     other columns are not read. Nothing is shuffled; memory is bounded by one block of texts, or
     by the longest text.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(functools.partial(_encoded, path=path), f"id {kind}, ids binary, ends binary")
+    return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(functools.partial(_encoded, path=path, decoded=decoded), f"id {kind}, ids binary, ends binary" + ", decoded binary" * decoded)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -18,7 +18,7 @@ def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    read_back = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    read_back = byte_bpe.encode(table(spark, sf_dir, "documents"), path, decoded=True)
     return read_back.select(F.col("id").alias("doc_id"), F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
