@@ -23,10 +23,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathlens.llm.common import blocks, utf8
+from pathlens.llm.common import blocks, checkpointed, utf8
 
 CAPACITY, END_ID, GROUP_ROWS = 4096, 1, 20_000
-CACHE_ENTRIES, BLOCK_BYTES = 400_000, 4 << 20
+CACHE_ENTRIES, BLOCK_BYTES = 1_500_000, 4 << 20
 #: Rounds of local search without which a group would be searched for ever in theory only: each
 #: round increases the sum of squares. Bins looked at by a round.
 ROUNDS, WINDOW = 2_000, 64
@@ -225,7 +225,8 @@ def pack(cut: DataFrame, rows: int, capacity: int = CAPACITY) -> DataFrame:
     full, groups = F.col("length") >= capacity, max(1, -(-rows // GROUP_ROWS))
     plain = [c for c in cut.columns if c != "serial"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", group_of int, sequence_id long, offset long"
-    dealt = cut.withColumn("group_of", F.when(full, F.lit(None)).otherwise(F.pmod(F.xxhash64("serial"), F.lit(groups))).cast("int"))
+    # Both branches below read the pieces; texts are encoded once and the small rows are kept.
+    dealt = checkpointed(cut).withColumn("group_of", F.when(full, F.lit(None)).otherwise(F.pmod(F.xxhash64("serial"), F.lit(groups))).cast("int"))
     alone = dealt.filter(full).select(*plain, (-F.col("serial") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     shared = dealt.filter(~full).groupBy("group_of").applyInPandas(functools.partial(_pack_group, capacity=capacity), schema)
     return alone.unionByName(shared.select(*plain, "sequence_id", "offset"))
