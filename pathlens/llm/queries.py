@@ -8,14 +8,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathlens.llm import byte_bpe, mpeg_audio, packing
+from pathlens.llm import byte_bpe, mpeg_audio, ngram_join, packing, secrets_scan
 from pathlens.llm.common import table
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.media_features(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets_scan.scan(table(spark, sf_dir, "documents"))
+    number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(F.col("id").alias("doc_id"), number("assign"), number("access"), number("hex"), F.sha2(secrets_scan.spelled(F.col("base")).cast("binary"), 256).alias("base_sha256"), secrets_scan.spelled(F.col("spans")).alias("spans"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     read_back = byte_bpe.encode(table(spark, sf_dir, "documents"), path, decoded=True)
@@ -29,7 +39,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_mpeg_audio, op7_byte_bpe, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op3_ngram_jaccard_join, op5_mpeg_audio, op6_secret_scans, op7_byte_bpe, op8_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

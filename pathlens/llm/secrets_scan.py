@@ -1,0 +1,126 @@
+"""Secret scans with native functions only: fixed patterns, and sliding-window entropy per character class.
+
+Positions come from regular expressions without a UDF: splitting a text by a pattern and extracting
+its matches interleave, so running sums of their lengths are offsets in code points. Candidate
+strings (long runs of key characters) get a window of WINDOW characters slid over them; counts per
+character and the sum of c*log2(c) are updated by the character that enters and the one that leaves,
+so each step costs the same. The highest window entropy is compared with the threshold of the
+candidate's character class. Allow-listed strings are suppressed.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Fixed patterns. Letters of the first one's names count in either case (ASCII).
+ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ASSIGN_VALUE = 8
+#: The runs are maximal, so a least length inside the pattern keeps and drops the same matches.
+ACCESS, HEX = r"AKIA[A-Z0-9]{12,}", r"[0-9a-f]{32,}"
+KINDS = ("assign", "access", "hex", "entropy")
+CANDIDATE, WINDOW = r"[A-Za-z0-9+/_=-]{20,}", 20
+#: (class, pattern of the whole candidate, least entropy in bits of its best window); the first that matches.
+CLASSES = (("digits", r"[0-9]+", 3.2), ("hex", r"[0-9a-fA-F]+", 3.0), ("alphanumeric", r"[A-Za-z0-9]+", 3.7), ("base64", r"[A-Za-z0-9+/_=-]+", 3.9))
+#: Suppressed candidates: no digit or no letter, words joined by marks, placeholders, UUIDs, paths, public examples.
+ALLOWED = (r"[^0-9]*", r"[0-9+/_=-]*", r"(?i).*(?:example|sample|placeholder|changeme|dummy).*", r"(?i)[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", r"(?:[A-Za-z]+[0-9]{0,4}[/_=+-]+)+[A-Za-z]*[0-9]{0,4}", r"(.)\1{7}.*")
+REPLACEMENT = "[secret]"
+
+_SPAN = "array<struct<start:int,end:int,text:string>>"
+_SCORED = "array<struct<start:int,rank:int,kind:string,end:int,class:string,score:double>>"
+
+
+def located(text: Column, pattern: str) -> Column:
+    """array<struct<start,end,text>> of the leftmost non-overlapping matches, in code points."""
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.split(text, pattern, -1)
+    both = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("text")))
+    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {_SPAN})").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        begin = acc["at"] + x["gap"]
+        end = begin + F.length(x["text"])
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["text"].alias("text")))).alias("out"))
+
+    found = F.aggregate(both, start, step, lambda acc: acc["out"])
+    return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(F.expr(f"cast(array() as {_SPAN})"))
+
+
+def window_entropy(text: Column, window: int = WINDOW) -> Column:
+    """The highest Shannon entropy, in bits, of any `window` consecutive characters of an ASCII string; 0 if it is shorter."""
+    weight = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)))
+    codes = F.transform(F.split(text, ""), lambda c: F.least(F.ascii(c), F.lit(127)))
+    zero = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("mass"), F.lit(0.0).alias("best"), F.lit(0).alias("n"))
+
+    def put(counts: Column, code: Column, value: Column) -> Column:
+        return F.concat(F.slice(counts, F.lit(1), code), F.array(value), F.slice(counts, code + 2, 128))
+
+    def step(acc: Column, pair: Column) -> Column:
+        enters, leaves = pair["enters"], pair["leaves"]
+        old = F.when(leaves >= 0, F.get(acc["counts"], leaves))
+        shrunk = F.when(leaves >= 0, put(acc["counts"], leaves, old - 1)).otherwise(acc["counts"])
+        mass = acc["mass"] + F.when(leaves >= 0, F.get(weight, old - 1) - F.get(weight, old)).otherwise(0.0)
+        # What enters is counted after what leaves has gone.
+        now = F.get(acc["counts"], enters) - F.when(leaves == enters, 1).otherwise(0)
+        mass = mass + F.get(weight, now + 1) - F.get(weight, now)
+        entropy = F.when(acc["n"] + 1 >= window, F.lit(math.log2(window)) - mass / window).otherwise(0.0)
+        return F.struct(put(shrunk, enters, now + 1).alias("counts"), mass.alias("mass"), F.greatest(acc["best"], entropy).alias("best"), (acc["n"] + 1).alias("n"))
+
+    pairs = F.zip_with(codes, F.concat(F.array_repeat(F.lit(-1), window), codes), lambda a, b: F.struct(a.alias("enters"), b.alias("leaves")))
+    return F.aggregate(F.filter(pairs, lambda p: p["enters"].isNotNull()), zero, step, lambda acc: acc["best"])
+
+
+def _class(text: Column) -> tuple[Column, Column]:
+    name, least = F.lit(None).cast("string"), F.lit(99.0)
+    for kind, pattern, bits in reversed(CLASSES):
+        whole = F.rlike(text, F.lit(f"^(?:{pattern})$"))
+        name, least = F.when(whole, kind).otherwise(name), F.when(whole, bits).otherwise(least)
+    return name, least
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, spans): spans is array<struct<start,rank,kind,end,class,score>> by start, then kind.
+
+    Offsets count code points, the end is exclusive. Spans of kind entropy are added where they do
+    not overlap one of a fixed pattern. A null text counts as empty and has no spans; texts of any
+    length are scanned whole; repeated rows stay. Rows are never moved: there is no shuffle.
+    """
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    found = docs.select(docs[id_col].alias("id"), text.alias("text")).select(
+        "id", "text", located(F.col("text"), ASSIGN).alias("assign"), located(F.col("text"), ACCESS).alias("access"), located(F.col("text"), HEX).alias("hex"), located(F.col("text"), CANDIDATE).alias("runs")
+    )
+
+    def typed(name: str, rank: int) -> Column:
+        return F.transform(F.col(name), lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(name).alias("kind"), s["end"].alias("end"), F.lit(name).alias("class"), F.lit(None).cast("double").alias("score"))).cast(_SCORED)
+
+    long_enough = F.filter("assign", lambda s: F.length(F.regexp_extract(s["text"], ASSIGN, 2)) >= ASSIGN_VALUE)
+    based = found.withColumn("assign", long_enough).select("id", "text", "runs", F.array_sort(F.concat(typed("assign", 0), typed("access", 1), typed("hex", 2))).alias("base"))
+    allowed = "^(?:" + "|".join(f"(?:{p})" for p in ALLOWED[:-1]) + ")$|^" + ALLOWED[-1]
+    free = F.filter("runs", lambda s: ~F.rlike(s["text"], F.lit(allowed)) & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+
+    def rated(s: Column) -> Column:
+        kind, least = _class(s["text"])
+        return F.struct(s["start"].alias("start"), F.lit(3).alias("rank"), F.lit("entropy").alias("kind"), s["end"].alias("end"), kind.alias("class"), window_entropy(s["text"]).alias("score"), least.alias("least"))
+
+    scored = based.withColumn("runs", F.when(F.size("runs") > 0, F.transform(free, rated)))
+    strong = F.transform(F.filter("runs", lambda s: s["score"] >= s["least"]), lambda s: F.struct(*(s[k].alias(k) for k in ("start", "rank", "kind", "end", "class", "score")))).cast(_SCORED)
+    return scored.select("id", "text", "base", F.array_sort(F.concat("base", F.coalesce(strong, F.expr(f"cast(array() as {_SCORED})")))).alias("spans"))
+
+
+def spelled(spans: Column) -> Column:
+    """kind:start:end of each span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def redacted(text: Column, spans: Column) -> Column:
+    """text with each span, or group of overlapping ones, replaced by REPLACEMENT."""
+    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("parts"))
+
+    def step(acc: Column, s: Column) -> Column:
+        apart = F.concat(acc["parts"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(REPLACEMENT)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], apart).otherwise(acc["parts"]).alias("parts"))
+
+    whole = F.aggregate(spans, zero, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
