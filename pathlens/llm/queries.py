@@ -8,14 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathlens.llm import byte_bpe, mpeg_audio, ngram_join, packing, secrets_scan
-from pathlens.llm.common import table
+from pathlens.llm import byte_bpe, mpeg_audio, ngram_join, packing, secrets_scan, toxicity
+from pathlens.llm.common import split_residue, table
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", (split_residue("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.media_features(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -39,7 +46,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_ngram_jaccard_join, op5_mpeg_audio, op6_secret_scans, op7_byte_bpe, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op3_ngram_jaccard_join, op4_toxicity, op5_mpeg_audio, op6_secret_scans, op7_byte_bpe, op8_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
