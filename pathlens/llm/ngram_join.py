@@ -179,31 +179,31 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([pa.array(_packed(set_keys(gram, at)), pa.binary()), pa.array([raw[a:b] for a, b in zip(at8, at8[1:])], pa.binary())], ["node", "set"])
 
 
-def contract(nodes_of: DataFrame) -> DataFrame:
+def contract(pairs: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): the same root for connected nodes.
 
-    Each round hooks every node to the least of its neighbours and itself, in an order hashed anew,
-    and keeps the edges between different hooks; the nodes shrink by a factor each round whatever
-    the shape. Rows stay linear in the edges; a hub is summed up map-side.
+    Each round moves every node to the least node within two steps, which folds a star at once, and
+    keeps the edges between different targets. The order of nodes is hashed anew from the second
+    round on, so long paths shrink by a factor too. Rows stay linear in the edges; the minimum over
+    a hub's neighbours is summed up map-side.
     """
-    edges = checkpointed(nodes_of.select("a", "b").filter(F.col("a") != F.col("b")).distinct())
-    hooks: list[DataFrame] = []
+    edges = checkpointed(pairs.select("a", "b").filter(F.col("a") != F.col("b")).distinct())
+    labels, rounds = edges.select(F.col("a").alias("node"), F.col("b").alias("root")), 0
     while not edges.isEmpty():
-        salt = F.lit(len(hooks))
-        rank = lambda c: F.struct(F.xxhash64(F.col(c), salt).alias("h"), F.col(c).alias("n"))
-        both = edges.select("a", rank("b").alias("r")).unionByName(edges.select(F.col("b").alias("a"), rank("a").alias("r")))
-        hook = checkpointed(both.groupBy("a").agg(F.min("r").alias("r")).select(F.col("a").alias("node"), F.least(F.col("r"), rank("a"))["n"].alias("hook")))
-        hooks.append(hook)
-        moved = edges.join(hook.select(F.col("node").alias("a"), F.col("hook").alias("x")), "a").join(hook.select(F.col("node").alias("b"), F.col("hook").alias("y")), "b")
+        rank = lambda c: F.struct((F.xxhash64(c, F.lit(rounds)) if rounds else F.lit(0).cast("long")).alias("h"), c.alias("n"))
+        both = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("near")))
+        least = both.groupBy("node").agg(F.min(rank(F.col("near"))).alias("m")).select("node", F.least("m", rank(F.col("node"))).alias("m"))
+        second = both.join(least.select(F.col("node").alias("near"), "m"), "near").groupBy("node").agg(F.min("m").alias("m"))
+        hook = checkpointed(second.select("node", F.least("m", rank(F.col("node")))["n"].alias("to")))
+        moved = edges.join(hook.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(hook.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
         edges = checkpointed(moved.filter(F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    if not hooks:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    # From the last round back: a node's root is that of its hook.
-    roots = hooks[-1].select("node", F.col("hook").alias("root"))
-    for hook in reversed(hooks[:-1]):
-        later = roots.select(F.col("node").alias("hook"), "root")
-        roots = hook.join(later, "hook", "left").select("node", F.coalesce("root", "hook").alias("root"))
-    return roots
+        if rounds:
+            later = hook.select(F.col("node").alias("root"), "to")
+            labels = checkpointed(labels.join(later, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        else:
+            labels = hook.select("node", F.col("to").alias("root"))
+        rounds += 1
+    return labels
 
 
 def _block_links(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float) -> np.ndarray:

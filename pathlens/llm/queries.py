@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathlens.llm import byte_bpe, mpeg_audio, ngram_join, packing, secrets_scan, toxicity
+from pathlens.llm import byte_bpe, katz, mpeg_audio, ngram_join, packing, secrets_scan, toxicity
 from pathlens.llm.common import split_residue, table
 
 
@@ -45,8 +45,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut, docs.count())
 
 
+def op9_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_ngram_jaccard_join, op4_toxicity, op5_mpeg_audio, op6_secret_scans, op7_byte_bpe, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op3_ngram_jaccard_join, op4_toxicity, op5_mpeg_audio, op6_secret_scans, op7_byte_bpe, op8_best_fit_packing, op9_katz_backoff)}
 
 
 def oracle_sql() -> dict[str, str]:
