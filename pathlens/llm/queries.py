@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathlens.llm import byte_bpe, katz, mpeg_audio, ngram_join, packing, secrets_scan, toxicity
+from pathlens.llm import byte_bpe, html_extract, katz, mpeg_audio, ngram_join, packing, secrets_scan, toxicity
 from pathlens.llm.common import split_residue, table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -50,7 +54,7 @@ def op9_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_ngram_jaccard_join, op4_toxicity, op5_mpeg_audio, op6_secret_scans, op7_byte_bpe, op8_best_fit_packing, op9_katz_backoff)}
+    return {f.__name__: f for f in (op1_html_extraction, op3_ngram_jaccard_join, op4_toxicity, op5_mpeg_audio, op6_secret_scans, op7_byte_bpe, op8_best_fit_packing, op9_katz_backoff)}
 
 
 def oracle_sql() -> dict[str, str]:
