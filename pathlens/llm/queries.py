@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathlens.llm import byte_bpe, html_extract, katz, mpeg_audio, ngram_join, packing, secrets_scan, toxicity
+from pathlens.llm import byte_bpe, html_extract, katz, license_scan, mpeg_audio, ngram_join, packing, secrets_scan, toxicity
 from pathlens.llm.common import split_residue, table
 
 
@@ -53,8 +53,13 @@ def op9_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.size("licenses").cast("long").alias("n_licenses"), F.array_join(F.transform("licenses", lambda m: m["license"]), ",").alias("licenses"), F.col("licenses").alias("matches"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op3_ngram_jaccard_join, op4_toxicity, op5_mpeg_audio, op6_secret_scans, op7_byte_bpe, op8_best_fit_packing, op9_katz_backoff)}
+    return {f.__name__: f for f in (op1_html_extraction, op3_ngram_jaccard_join, op4_toxicity, op5_mpeg_audio, op6_secret_scans, op7_byte_bpe, op8_best_fit_packing, op9_katz_backoff, op10_license_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
