@@ -70,29 +70,33 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
-def shingles(data: bytes, bounds: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, offsets of the texts in them): the distinct word n-grams of each text, sorted.
-
-    Words are runs of letters and digits, ASCII case folded. A text of fewer than `words` words but
-    one at least has one n-gram, all its words; one without words has none.
-    """
+def word_hashes(data: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, number per text) of the words: runs of letters and digits, ASCII case folded, in order."""
     texts = len(bounds) - 1
     raw = np.frombuffer(data.lower(), np.uint8)
-    inside = _word_bytes()[raw] if len(raw) else np.zeros(0, bool)
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(texts, np.int64)
+    inside = _word_bytes()[raw]
     cut = np.zeros(len(raw) + 1, bool)
     cut[bounds] = True
-    before = np.concatenate([[False], inside[:-1]]) if len(raw) else inside
-    begins = np.flatnonzero(inside & (~before | cut[:-1]))
-    after = np.concatenate([inside[1:], [False]]) if len(raw) else inside
-    ends = np.flatnonzero(inside & (~after | cut[1:])) + 1
-    if not len(begins):
-        return np.zeros(0, np.uint64), np.zeros(texts + 1, np.int64)
-    size = 1 << max(10, int(len(raw)).bit_length())
-    up, down = _powers(size)
+    begins = np.flatnonzero(inside & (~np.concatenate([[False], inside[:-1]]) | cut[:-1]))
+    ends = np.flatnonzero(inside & (~np.concatenate([inside[1:], [False]]) | cut[1:])) + 1
+    up, down = _powers(1 << max(10, len(raw).bit_length()))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64)])
     word = mix((total[ends] - total[begins]) * down[begins] + (ends - begins).astype(np.uint64))
-    owner = np.searchsorted(bounds, begins, side="right") - 1
-    counts = np.bincount(owner, minlength=texts)
+    return word, np.bincount(np.searchsorted(bounds, begins, side="right") - 1, minlength=texts)
+
+
+def shingles(data: bytes, bounds: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, offsets of the texts in them): the distinct word n-grams of each text, sorted.
+
+    A text of fewer than `words` words but one at least has one n-gram, all its words; one without
+    words has none.
+    """
+    texts = len(bounds) - 1
+    word, counts = word_hashes(data, bounds)
+    if not len(word):
+        return np.zeros(0, np.uint64), np.zeros(texts + 1, np.int64)
     first = np.concatenate([[0], np.cumsum(counts)])
     many = np.maximum(counts - words + 1, (counts > 0).astype(np.int64))
     offsets = np.concatenate([[0], np.cumsum(many)])
