@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 _SHIPPED: set[str] = set()
@@ -37,6 +38,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def typed(kind: T.DataType, rest: str) -> T.StructType:
+    """A schema of `id`, of any type, and the columns of a DDL string."""
+    return T.StructType([T.StructField("id", kind), *T.StructType.fromDDL(rest).fields])
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where none is named, as in local tests."""
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of `df` with a reliable checkpoint.
 
@@ -46,7 +57,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathlens.llm.byte_bpe import LETTER, NUMBER, _classes
-from pathlens.llm.common import blocks, checkpointed, split_residue, utf8
+from pathlens.llm.common import blocks, checkpointed, split_residue, typed, utf8
 from pathlens.llm.ngram_join import shingles, signatures
 
 #: The bound of the labelled sample that the classifier is fitted on.
@@ -377,7 +377,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """(id, score, terms, quoted, fuzzy) for each row: score in 0..1; the others are log(1 + count).
 
     A null text counts as empty and gets the score of a text without matches. Only the text enters
-    a score, so equal texts have equal scores. Rows are not moved; repeated ones stay.
+    a score, so equal texts have equal scores. Rows are not moved; repeated ones stay. The id may
+    be a struct of a whole row.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(functools.partial(_scored, model=model), f"id {kind}, score double, terms double, quoted double, fuzzy double")
+    schema = typed(docs.schema[id_col].dataType, "score double, terms double, quoted double, fuzzy double")
+    return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(functools.partial(_scored, model=model), schema)
