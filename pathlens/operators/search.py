@@ -78,6 +78,14 @@ def check_capabilities(q: ParsedQuery, o: Options, volumes: DataFrame | None) ->
                 raise QueryError(f"volume {row['volume']} has no {flag.removeprefix('has_')} metadata; build its catalog with it")
 
 
+def matches(entries: DataFrame, query: str, options: Options = Options(), volumes: DataFrame | None = None, **more) -> DataFrame:
+    """All entries that the query matches, unordered and unlimited."""
+    o = Options(**(options.__dict__ | more))
+    q = understood(query, o)
+    check_capabilities(q, o, volumes)
+    return entries.filter(condition(q, o))
+
+
 def search(entries: DataFrame, query: str, options: Options = Options(), volumes: DataFrame | None = None, **more) -> DataFrame:
     """The best `limit` entries (100 if not positive) with their rank from 1, over all volumes.
 
