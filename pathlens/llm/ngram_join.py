@@ -71,7 +71,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, number per text) of the words: runs of letters and digits, ASCII case folded, in order."""
+    """(hashes, number per text) of the words, in order: runs of ASCII letters and digits, case folded, and of any other characters beyond ASCII."""
     texts = len(bounds) - 1
     raw = np.frombuffer(data.lower(), np.uint8)
     if not len(raw):
