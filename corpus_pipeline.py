@@ -20,8 +20,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Rows whose toxicity score is below 0.5. A null or empty text has no match and stays."""
     ship(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    whole = docs.select(F.struct("*").alias("row"), "text")
-    return toxicity.score(whole, model, id_col="row").filter("score < 0.5").select("id.*")
+    whole = docs.select(F.struct("*").alias("row"))
+    return toxicity.score(whole, model, id_col="row", text_col="row.text").filter("score < 0.5").select("id.*")
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ from pathlens.llm.ngram_join import shingles, signatures
 SAMPLE_ROWS = 20_000
 #: A term's least share of the toxic texts of the sample and least log-odds; bounds of its length and of the lexicon.
 LEAST_SHARE, LEAST_ODDS, SHORTEST, LONGEST, TERMS = 0.004, 4.0, 4, 14, 300
-WINDOW, BLOCK_BYTES = 5, 2 << 20
+WINDOW, BLOCK_BYTES = 5, 1 << 20
 # Fixed word lists: words of saying before a quoted term, and words that address somebody.
 SAYING = ("called", "says", "said", "saying", "wrote", "word", "words", "term", "quote", "quoted", "quoting", "named")
 ADDRESS = ("you", "your", "youre", "u", "ur", "yourself", "du", "dich", "tu", "toi", "te", "vous", "usted")
@@ -365,9 +366,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model
 
 
-def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], model: Model, field: str | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        offsets, data = utf8(batch.column(1))
+        offsets, data = utf8(pc.struct_field(batch.column(0), field) if field else batch.column(1))
         for low, high in blocks(offsets, BLOCK_BYTES):
             x = features(model, [bytes(data[a:b]).decode() for a, b in zip(offsets[low:high], offsets[low + 1 : high + 1])])
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(model.score(x)), *(pa.array(x[:, k]) for k in (1, 2, 6))], ["id", "score", "terms", "quoted", "fuzzy"])
@@ -378,7 +379,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     A null text counts as empty and gets the score of a text without matches. Only the text enters
     a score, so equal texts have equal scores. Rows are not moved; repeated ones stay. The id may
-    be a struct of a whole row.
+    be a struct of a whole row; a text that is a field of it, as in "row.text", is sent once.
     """
+    field = text_col.removeprefix(f"{id_col}.") if text_col.startswith(f"{id_col}.") else None
     schema = typed(docs.schema[id_col].dataType, "score double, terms double, quoted double, fuzzy double")
-    return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(functools.partial(_scored, model=model), schema)
+    sent = [docs[id_col].alias("id")] + ([] if field else [docs[text_col].cast("string").alias("text")])
+    return docs.select(*sent).mapInArrow(functools.partial(_scored, model=model, field=field), schema)
