@@ -96,6 +96,17 @@ def test_op2_against_brute_force(spark, docs):
         assert got == pytest.approx(sorted(scores, reverse=True)[:5], rel=1e-6)
 
 
+def test_op2_rounds_and_ties(spark):
+    rows = [(k, COPY if k % 3 == 0 else PROSE[k % 60]) for k in range(400)]
+    one = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    queried = one.filter("doc_id % 10 = 0")
+    many = one.repartition(40, "doc_id")
+    assert len(bm25.build(many).select("round").distinct().collect()) > 1
+    expected = sorted(map(tuple, bm25.search(one, queried).collect()))
+    assert sorted(map(tuple, bm25.search(many, queried).collect())) == expected and len(expected) == 400
+    assert [r[2] for r in expected if r[0] == 30] == list(range(0, 30, 3))
+
+
 def test_op4_scores(spark, folder):
     rows = run(spark, "op4_toxicity", folder)
     assert len(rows) == len(TEXTS) + 1
