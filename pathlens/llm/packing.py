@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pathlens.llm.common import blocks, checkpointed, utf8
 
 CAPACITY, END_ID, GROUP_ROWS = 4096, 1, 20_000
-CACHE_ENTRIES, BLOCK_BYTES = 1_500_000, 4 << 20
+CACHE_ENTRIES, BLOCK_BYTES = 250_000, 4 << 20
 #: Rounds of local search without which a group would be searched for ever in theory only: each
 #: round increases the sum of squares. Bins looked at by a round.
 ROUNDS, WINDOW = 2_000, 64
