@@ -19,6 +19,7 @@ from __future__ import annotations
 import functools
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -220,7 +221,7 @@ def _block_links(left: list[np.ndarray], right: list[np.ndarray] | None, thresho
     number = np.cumsum(counts > 1) - 1
     rows, cols = owner[kept], number[inverse[kept]]
     n, m = len(left), len(right) if right is not None else len(left)
-    shared = np.zeros((n, m), np.float32)
+    shared = np.zeros((n, m), np.int64)
     order = np.argsort(cols, kind="stable")
     rows, cols = rows[order], cols[order]
     width = 4096
@@ -228,10 +229,11 @@ def _block_links(left: list[np.ndarray], right: list[np.ndarray] | None, thresho
         a, b = np.searchsorted(cols, (start, start + width))
         dense = np.zeros((len(every), width), np.float32)
         dense[rows[a:b], cols[a:b] - start] = 1
-        shared += dense[:n] @ (dense[n:] if right is not None else dense).T
+        shared += (dense[:n] @ (dense[n:] if right is not None else dense).T).astype(np.int64)
     x, y = sizes[:n, None], (sizes[n:] if right is not None else sizes)[None, :]
-    # shared / (x + y - shared) >= threshold, in whole numbers as far as the threshold allows
-    links = shared * (1 + threshold) >= threshold * (x + y) - 1e-6
+    # shared / (x + y - shared) >= threshold in whole numbers: the threshold is the fraction it is written as, 0.8 is 4/5
+    part, whole = Fraction(str(threshold)).as_integer_ratio()
+    links = shared * (part + whole) >= part * (x + y)
     links &= (x > 0) & (y > 0)
     if right is None:
         np.fill_diagonal(links, False)

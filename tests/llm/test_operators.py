@@ -80,6 +80,24 @@ def test_op3_bands_and_chains(spark):
     assert len({roots[k] for k in range(41)}) == 1 and len({roots[k] for k in range(100, 160)}) == 1 and roots[0] != roots[100]
 
 
+def test_op3_links_at_the_threshold(spark):
+    import numpy as np
+
+    # Sets of x and y with `shared` members in common are at 0.8 where 9 * shared = 4 * (x + y); one member less in common is below.
+    for shared in [*range(4, 400, 4), 2000, 3996]:
+        x = shared * 9 // 4 // 2
+        y = shared * 9 // 4 - x
+        a, b, c = np.arange(x), np.arange(x - shared, x - shared + y), np.arange(x - shared + 1, x - shared + 1 + y)
+        links = ngram_join._block_links([s.astype(np.uint64) for s in (a, b)], [c.astype(np.uint64)], ngram_join.THRESHOLD)
+        assert not links[0, 0] and bool(links[1, 0]) == (5 * (y - 1) >= 4 * (y + 1)), shared
+        assert ngram_join._block_links([s.astype(np.uint64) for s in (a, b)], None, ngram_join.THRESHOLD)[0, 1], shared
+
+    words = [f"w{k}" for k in range(64)]
+    rows = [(1, " ".join(words[:17])), (2, " ".join([*words[1:17], "x", "y"])), (3, " ".join([*words[2:17], "x", "z", "u"]))]
+    got = {r["id"]: (r["class_id"], r["n_links"]) for r in ngram_join.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0)}
+
+
 def test_op2_against_brute_force(spark, docs):
     rows = [r for r in bm25.search(docs, docs.filter("doc_id % 10 = 0"), k=5).collect()]
     words = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
