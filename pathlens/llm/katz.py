@@ -9,9 +9,9 @@ size; what crosses the network is packed and already summed up within a block:
    and the texts they occur in, to the partition of the history.
 3. A history partition totals its bigrams, discounts counts up to DISCOUNTED by Good-Turing (from
    the counts of counts of the partition, a random share of all histories) and normalises each
-   history exactly: p(w|h) = d(c) c(h,w) / c(h) where c(h,w) reaches LEAST_BIGRAM, else a(h) p(w)
-   with a(h) = (1 - sum of the former) / (1 - sum of p(w) over the same words). It returns sums per
-   text.
+   history exactly: p(w|h) = d(c) c(h,w) / c(h) where training has the bigram, if only once, else
+   a(h) p(w) with a(h) = (1 - sum of the former) / (1 - sum of p(w) over the same words). It returns
+   sums per text.
 4. Blocks add up.
 
 Unigrams are discounted likewise; what that leaves is the probability of an unknown word.
@@ -33,11 +33,11 @@ from pyspark.sql import functions as F
 from pathlens.llm.common import blocks, checkpointed, split_residue, utf8
 from pathlens.llm.ngram_join import _BASE, _powers, mix
 
-DISCOUNTED, LEAST_BIGRAM = 5, 2
+DISCOUNTED = 5
 #: Texts a word or history partition is made for, tokens and rows of a block, bytes hashed at a time.
 PART_ROWS, BLOCK_TOKENS, BLOCK_ROWS, SLICE_BYTES = 6_000, 2_000_000, 20_000, 1 << 20
 END_HASH = np.uint64(0x1)
-_BITS, RARE = 22, -1
+_BITS, UNKNOWN = 22, -1
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -79,10 +79,10 @@ def tokens(data: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, words + 1
 
 
-def discounts(counted: np.ndarray, least: int = 1) -> np.ndarray:
+def discounts(counted: np.ndarray) -> np.ndarray:
     """d(0..DISCOUNTED + 1) by Katz's rule from n(0..DISCOUNTED + 1), the numbers of things seen r times.
 
-    Where the counts of counts give none in (0, 1], a count isn't discounted. Below `least`, d is 0.
+    Where the counts of counts give none in (0, 1], a count isn't discounted. d(0) is 0.
     """
     d = np.ones(DISCOUNTED + 2)
     k, n = DISCOUNTED, counted.astype(float)
@@ -91,7 +91,7 @@ def discounts(counted: np.ndarray, least: int = 1) -> np.ndarray:
         if n[r] and common < 1:
             value = ((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common)
             d[r] = value if 0 < value <= 1 else 1.0
-    d[:least] = 0
+    d[0] = 0
     return d
 
 
@@ -195,16 +195,16 @@ def _facts(key: tuple, group: pd.DataFrame, parts: int, total: int, distinct: in
     base = np.bincount(owner, weights=np.log10((count + 1.0) / (total + distinct + 1.0))[local], minlength=texts)
     alone = np.bincount(owner, weights=np.log10(p(count))[local], minlength=texts)
     rows = [_row(FACTS, block, -1 - block % parts, _pack(length), _pack(known), _pack(base), _pack(alone), _pack(~train), text["d"])]
-    # Before the first word stands an end. A history seen less than LEAST_BIGRAM times has no bigram that counts.
+    # Before the first word stands an end. A history that training lacks has no bigrams; words that it lacks are one.
     end = int(local[-1])
     history = np.empty_like(local)
     history[1:] = local[:-1]
     history[np.cumsum(length) - length] = end
-    there = count[history] >= LEAST_BIGRAM
+    there = count[history] > 0
     history, word, owner = history[there].astype(np.int64), local[there].astype(np.int64), owner[there]
-    common = count >= LEAST_BIGRAM
+    known_word = count > 0
     part_of = (mix(ident.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-    pair = (part_of[history] << (2 * _BITS)) | (history << _BITS) | np.where(common[word], word + 1, 0)
+    pair = (part_of[history] << (2 * _BITS)) | (history << _BITS) | np.where(known_word[word], word + 1, 0)
     order = np.argsort(pair, kind="stable")
     pair, owner, weight = pair[order], owner[order], train[owner[order]]
     starts = np.flatnonzero(np.diff(pair, prepend=-1))
@@ -216,17 +216,14 @@ def _facts(key: tuple, group: pd.DataFrame, parts: int, total: int, distinct: in
         if low < high:
             a, b = starts[low], starts[high] if high < len(starts) else len(pair)
             these = w[low:high]
-            rows.append(_row(PAIRS, block, part, _pack(_steps(ident[h[low:high]])), _pack(np.where(these < 0, RARE, ident[these])), _pack(np.where(these < 0, 0, count[these])), _pack(trained[low:high].astype(np.int32)), _pack(spans[low:high].astype(np.int32)), _pack(owner[a:b].astype(np.int32))))
+            rows.append(_row(PAIRS, block, part, _pack(_steps(ident[h[low:high]])), _pack(np.where(these < 0, UNKNOWN, ident[these])), _pack(np.where(these < 0, 0, count[these])), _pack(trained[low:high].astype(np.int32)), _pack(spans[low:high].astype(np.int32)), _pack(owner[a:b].astype(np.int32))))
     return pd.DataFrame(rows, columns=_NAMES)
 
 
 def backoff(h: np.ndarray, w: np.ndarray, pw: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log10 of p(w|h) / p(w), whether the bigram counts) for sorted distinct bigrams of whole histories."""
-    seen = (count >= LEAST_BIGRAM) & (w != RARE)
-    once = int(count[w == RARE].sum()) + int(((count == 1) & (w != RARE)).sum())
-    classes = np.bincount(np.minimum(count[seen], DISCOUNTED + 2), minlength=DISCOUNTED + 3)[: DISCOUNTED + 2]
-    classes[1] = once
-    d = discounts(classes, LEAST_BIGRAM)
+    """(log10 of p(w|h) / p(w), whether training has the bigram) for sorted distinct bigrams of whole histories."""
+    seen = count > 0
+    d = discounts(np.bincount(np.minimum(count[seen], DISCOUNTED + 2), minlength=DISCOUNTED + 3)[: DISCOUNTED + 2])
     first = np.flatnonzero(np.diff(h, prepend=-2))
     number = np.cumsum(np.diff(h, prepend=-2) != 0) - 1
     held = np.where(seen, d[np.minimum(count, DISCOUNTED + 1)] * count, 0.0)

@@ -246,6 +246,52 @@ def test_op9_base_and_normalisation(spark, folder):
         assert math.isfinite(r["score"]) and r["score"] <= 1e-9
 
 
+def katz_scores(texts, modulus=7, held_out=2):
+    """Scores by a plain version: the discounts of words and of bigrams come from all training texts."""
+    words = {k: [*t.split(), None] for k, t in texts.items()}
+    train = [w for k, w in words.items() if crc(k) % modulus != held_out]
+    c = Counter(x for w in train for x in w)
+    b = Counter(x for w in train for x in zip([None, *w], w))
+    n = sum(c.values())
+
+    def discounts(counts):
+        of = Counter(counts.values())
+        common = 6 * of[6] / of[1]
+        d = {r: ((r + 1) * of[r + 1] / (r * of[r]) - common) / (1 - common) for r in range(1, 6)}
+        assert common < 1 and 0 < d[1] <= 1
+        return {r: x if 0 < x <= 1 else 1.0 for r, x in d.items()}, of
+
+    (dw, of), (db, _) = discounts(c), discounts(b)
+    spare = sum((1 - dw[r]) * r * of[r] for r in dw) / n
+    p = lambda x: dw.get(c[x], 1.0) * c[x] / n if c[x] else spare
+    near = {}
+    for (h, x), count in b.items():
+        near.setdefault(h, {})[x] = count
+
+    def one(h, x):
+        if h not in near:
+            return p(x)
+        per, held = sum(near[h].values()), {y: db.get(r, 1.0) * r for y, r in near[h].items()}
+        per += per - sum(held.values()) < 1e-9
+        return held[x] / per if x in held else p(x) * (1 - sum(held.values()) / per) / (1 - sum(map(p, held)))
+
+    return {k: sum(math.log10(one(h, x)) for h, x in zip([None, *w], w)) for k, w in words.items()}
+
+
+def zipf_texts(n):
+    dealt = random.Random(11)
+    vocab = [f"w{k}" for k in range(3000)]
+    weights = [1 / (k + 2) for k in range(3000)]
+    return {k: " ".join(dealt.choices(vocab, weights, k=dealt.randrange(0, 60))) for k in range(n)}
+
+
+def test_op9_bigrams_seen_once(spark):
+    texts = zipf_texts(400)
+    expected = katz_scores(texts)
+    got = {r["id"]: r["score"] for r in katz.score(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()}
+    assert got == {k: pytest.approx(x, rel=1e-9) for k, x in expected.items()}
+
+
 def test_op10_templates(spark):
     name, text = next((n, t) for n, t in license_scan.TEMPLATES.items())
     rows = [(1, "before " * 300 + text.upper() + " after" * 300), (2, "nothing here"), (3, None), (4, "")]
