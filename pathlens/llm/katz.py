@@ -3,13 +3,15 @@
 Counts of all training texts live in tables partitioned by hash. Texts stay in blocks of bounded
 size; what crosses the network is packed and already summed up within a block:
 
+0. A pass of its own sends a block's distinct training bigrams, as 64-bit hashes with their counts,
+   to partitions by hash, which total them; their counts of counts, a few numbers each, are summed
+   up to those of all training texts.
 1. A block sends its distinct words with their counts to the word partitions, which total them and
    send back each word's total and number.
 2. With these a block knows every unigram probability and sends its distinct bigrams, with counts
    and the texts they occur in, to the partition of the history.
-3. A history partition totals its bigrams, discounts counts up to DISCOUNTED by Good-Turing (from
-   the counts of counts of the partition, a random share of all histories) and normalises each
-   history exactly: p(w|h) = d(c) c(h,w) / c(h) where training has the bigram, if only once, else
+3. A history partition totals its bigrams, discounts counts up to DISCOUNTED by Good-Turing, with
+   the same discounts in every partition, and normalises each history exactly: p(w|h) = d(c) c(h,w) / c(h) where training has the bigram, if only once, else
    a(h) p(w) with a(h) = (1 - sum of the former) / (1 - sum of p(w) over the same words). It returns
    sums per text.
 4. Blocks add up.
@@ -107,7 +109,7 @@ def unigram(total: int, distinct: int, counted: np.ndarray):
 ROW = "kind int, block long, part int, a binary, b binary, c binary, d binary, e binary, f binary"
 _NAMES = [x.split()[0] for x in ROW.split(", ")]
 _ARROW = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("part", pa.int32()), *((x, pa.binary()) for x in "abcdef")])
-TEXTS, WORDS, TOTALS, FACTS, PAIRS, SUMS, STATS = range(7)
+TEXTS, WORDS, TOTALS, FACTS, PAIRS, SUMS, STATS, BIGRAMS = range(8)
 
 
 def _row(kind: int, block: int, part: int, *blobs: bytes) -> dict:
@@ -163,6 +165,44 @@ def _blocked(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Recor
     yield from flush()
 
 
+def _bigrams(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows BIGRAMS: hashes and counts of a block's distinct bigrams, training texts only, for a partition by hash."""
+    held: list[np.ndarray] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        pairs, counts = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        where = ((pairs >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        edges = np.searchsorted(where, np.arange(parts + 1))
+        for part, (low, high) in enumerate(zip(edges, edges[1:])):
+            if low < high:
+                yield pa.RecordBatch.from_pylist([_row(BIGRAMS, -1, part, _pack(_steps(pairs[low:high])), _pack(counts[low:high].astype(np.int64)))], _ARROW)
+
+    for batch in batches:
+        offsets, data = utf8(batch.column(0))
+        for low, high in blocks(offsets, SLICE_BYTES):
+            hashed, length = tokens(bytes(data[offsets[low] : offsets[high]]), offsets[low : high + 1] - offsets[low])
+            history = np.empty_like(hashed)
+            history[1:] = hashed[:-1]
+            history[np.cumsum(length) - length] = END_HASH
+            held.append(mix(mix(history) * _BASE + hashed))
+            if sum(map(len, held)) >= BLOCK_TOKENS:
+                yield from flush()
+    yield from flush()
+
+
+def _counts_of_counts(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    """n(0..DISCOUNTED + 1) of the bigrams of a partition."""
+    hashes = np.concatenate([np.cumsum(_unpack(x, np.uint64), dtype=np.uint64) for x in group["a"]])
+    counts = np.concatenate([_unpack(x, np.int64) for x in group["b"]])
+    order = np.argsort(hashes, kind="stable")
+    total = np.add.reduceat(counts[order], np.flatnonzero(np.concatenate([[True], np.diff(hashes[order]) != 0])))
+    stats = np.bincount(np.minimum(total, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[: DISCOUNTED + 2]
+    return pd.DataFrame([_row(STATS, -1, int(key[0]), stats.astype("<i8").tobytes())], columns=_NAMES)
+
+
 def _totals(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     """Totals of a word partition: for each block the totals and numbers of its words; and the counts of counts."""
     group = group.sort_values("block")
@@ -220,10 +260,9 @@ def _facts(key: tuple, group: pd.DataFrame, parts: int, total: int, distinct: in
     return pd.DataFrame(rows, columns=_NAMES)
 
 
-def backoff(h: np.ndarray, w: np.ndarray, pw: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def backoff(h: np.ndarray, pw: np.ndarray, count: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(log10 of p(w|h) / p(w), whether training has the bigram) for sorted distinct bigrams of whole histories."""
     seen = count > 0
-    d = discounts(np.bincount(np.minimum(count[seen], DISCOUNTED + 2), minlength=DISCOUNTED + 3)[: DISCOUNTED + 2])
     first = np.flatnonzero(np.diff(h, prepend=-2))
     number = np.cumsum(np.diff(h, prepend=-2) != 0) - 1
     held = np.where(seen, d[np.minimum(count, DISCOUNTED + 1)] * count, 0.0)
@@ -239,13 +278,13 @@ def backoff(h: np.ndarray, w: np.ndarray, pw: np.ndarray, count: np.ndarray) ->
     return ratio, seen
 
 
-def _history(key: tuple, group: pd.DataFrame, total: int, distinct: int, counted: tuple) -> pd.DataFrame:
+def _history(key: tuple, group: pd.DataFrame, total: int, distinct: int, counted: tuple, paired: tuple) -> pd.DataFrame:
     """A history partition: sums of log10(p(w|h) / p(w)) per text. Facts of blocks pass through."""
     facts = group[group["kind"] == FACTS]
     pairs = group[group["kind"] == PAIRS].sort_values("block")
     rows = facts.to_dict("records")
     if len(pairs):
-        p = unigram(total, distinct, np.array(counted))
+        p, d = unigram(total, distinct, np.array(counted)), discounts(np.array(paired))
         hs = [np.cumsum(_unpack(x, np.int64)) for x in pairs["a"]]
         h, w = np.concatenate(hs), np.concatenate([_unpack(x, np.int64) for x in pairs["b"]])
         cw, ct = np.concatenate([_unpack(x, np.int64) for x in pairs["c"]]), np.concatenate([_unpack(x, np.int32) for x in pairs["d"]])
@@ -254,7 +293,7 @@ def _history(key: tuple, group: pd.DataFrame, total: int, distinct: int, counted
         fresh = np.ones(len(order), bool)
         fresh[1:] = (hh[1:] != hh[:-1]) | (ww[1:] != ww[:-1])
         starts = np.flatnonzero(fresh)
-        ratio, _ = backoff(hh[starts], ww[starts], p(cw[order][starts]), np.add.reduceat(ct[order].astype(np.int64), starts))
+        ratio, _ = backoff(hh[starts], p(cw[order][starts]), np.add.reduceat(ct[order].astype(np.int64), starts), d)
         value = np.empty(len(order))
         value[order] = ratio[np.cumsum(fresh) - 1]
         at = 0
@@ -291,6 +330,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     parts = max(1, -(-rows // PART_ROWS))
     kind = docs.schema[id_col].dataType.simpleString()
     plain = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), (split_residue(id_col, modulus) != held_out).alias("train"))
+    # Counted from the texts once more: the bigrams with their texts would have to be kept on disk for a second look.
+    pairs = plain.filter("train").select("text").mapInArrow(functools.partial(_bigrams, parts=parts), ROW)
+    paired = np.zeros(DISCOUNTED + 2, np.int64)
+    for r in pairs.groupBy("part").applyInPandas(_counts_of_counts, ROW).select("a").collect():  # a few numbers of each partition
+        paired += np.frombuffer(r["a"], "<i8")
     made = checkpointed(plain.mapInArrow(functools.partial(_blocked, parts=parts), ROW))
     replies = checkpointed(made.filter(F.col("kind") == WORDS).groupBy("part").applyInPandas(_totals, ROW))
     stats = np.zeros(DISCOUNTED + 4, np.int64)
@@ -299,6 +343,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     total, distinct, counted = int(stats[0]), int(stats[1]), (0, *map(int, stats[3:]))
     known = made.filter(F.col("kind") == TEXTS).unionByName(replies.filter(F.col("kind") == TOTALS))
     facts = known.groupBy("block").applyInPandas(functools.partial(_facts, parts=parts, total=total, distinct=distinct, counted=counted), ROW)
-    sums = facts.groupBy("part").applyInPandas(functools.partial(_history, total=total, distinct=distinct, counted=counted), ROW)
+    sums = facts.groupBy("part").applyInPandas(functools.partial(_history, total=total, distinct=distinct, counted=counted, paired=tuple(map(int, paired))), ROW)
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     return sums.groupBy("block").applyInArrow(_added, schema).select("id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

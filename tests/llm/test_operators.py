@@ -292,6 +292,14 @@ def test_op9_bigrams_seen_once(spark):
     assert got == {k: pytest.approx(x, rel=1e-9) for k, x in expected.items()}
 
 
+def test_op9_discounts_of_all_partitions(spark, monkeypatch):
+    texts = zipf_texts(400)
+    expected = katz_scores(texts)
+    monkeypatch.setattr(katz, "PART_ROWS", 60)
+    got = {r["id"]: r["score"] for r in katz.score(spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(5, "doc_id")).collect()}
+    assert got == {k: pytest.approx(x, rel=1e-9) for k, x in expected.items()}
+
+
 def test_op10_templates(spark):
     name, text = next((n, t) for n, t in license_scan.TEMPLATES.items())
     rows = [(1, "before " * 300 + text.upper() + " after" * 300), (2, "nothing here"), (3, None), (4, "")]
