@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 
 _SHIPPED: set[str] = set()
+_LOCAL: str | None = None
 
 
 def ship(spark: SparkSession) -> None:
@@ -44,8 +45,25 @@ def typed(kind: T.DataType, rest: str) -> T.StructType:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where none is named, as in local tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-")
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Only a local master, as in tests, may go without: it gets a temporary folder. Anywhere else a
+    folder of one machine would be lost on the others, so that is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    global _LOCAL
+    _LOCAL = _LOCAL or tempfile.mkdtemp(prefix="shared-")
+    return _LOCAL
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared one that is no longer read."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
