@@ -2,23 +2,28 @@
 
 Full pieces are sequences of their own and are never shuffled. The others (one per document at
 most) are dealt by a hash of their serial number into groups of bounded size, so neither the hot
-source nor repeated documents can gather in one task. In a group, best fit decreasing makes the
-first packing; local search then moves one document, exchanges one for one or two for one between
-underfull bins, taking only changes that increase the sum of squared fills, until bins empty or
-the number of bins reaches its lower bound.
+source nor repeated documents can gather in one task. In a group, best fit in the order of arrival
+makes the first packing, as a stream of documents would be packed. Local search then empties one
+bin after another, the least filled first: it moves a document, exchanges one for one, two for one or
+one for two between underfull bins, taking only changes that increase the sum of squared fills. It
+ends when the number of bins has reached its lower bound, or when no underfull bin is left from which
+a change is possible; there is no other limit.
 """
 
 from __future__ import annotations
 
 import functools
+import gc
+import json
 import os
+import re
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,50 +31,95 @@ from pyspark.sql import functions as F
 from pathlens.llm.common import blocks, checkpointed, utf8
 
 CAPACITY, END_ID, GROUP_ROWS = 4096, 1, 20_000
-CACHE_ENTRIES, BLOCK_BYTES = 250_000, 4 << 20
-#: Rounds of local search without which a group would be searched for ever in theory only: each
-#: round increases the sum of squares. Bins looked at by a round.
-ROUNDS, WINDOW = 2_000, 64
+CACHE_ENTRIES, BLOCK_BYTES = 150_000, 4 << 20
+#: Pieces that are encoded together.
+TOGETHER = 256
+#: Chunks of printable characters up to U+024F, of which each keeps its class in lower case and none is composed.
+_PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]+")
 
 
 class WordEncoder:
-    """Ids by the tokenizers library, of texts cut at ASCII white space, with a bounded cache.
+    """Ids by the tokenizers library, of texts cut at ASCII white space, with bounded caches.
 
     The vocabulary's normaliser and splitter never join text across white space and map case
-    first, so the ids of a text are those of its lower-cased chunks, one after another.
+    first, so the ids of a text are those of its lower-cased chunks, one after another. A chunk of
+    plain characters is cut further by the splitter's own pattern, so "word" and "word," share the
+    ids of "word"; each such piece ends with the one token that has the end mark. Chunks are kept in
+    two generations: when the young one is full it becomes the old one, and what is used again moves
+    back.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        made = json.loads(self.tokenizer.to_str())
+        self.mark = made["model"]["end_of_word_suffix"]
+        self.split = regex.compile(next(x["pattern"]["Regex"] for x in made["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")).findall
+        ends = [k for token, k in self.tokenizer.get_vocab().items() if token.endswith(self.mark)]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[ends] = True
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     @classmethod
     @functools.cache
     def load(cls, path: str) -> WordEncoder:
         return cls(path)
 
-    def fill(self, chunks: set[bytes]) -> None:
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        if new := list(chunks.difference(self.cache)):
-            for chunk, found in zip(new, self.batch([x.decode() for x in new], add_special_tokens=False)):
-                self.cache[chunk] = np.array(found.ids, "<u4").tobytes()
+    def coded(self, texts: list[str]) -> list[bytes]:
+        return [np.array(found.ids, "<u4").tobytes() for found in self.batch(texts, add_special_tokens=False)]
+
+    def learn(self, pieces: list[str]) -> None:
+        """Ids of new pieces, many in one call; where a piece has other than one end, each alone."""
+        joined = [" ".join(pieces[k : k + TOGETHER]) for k in range(0, len(pieces), TOGETHER)]
+        for k, found in enumerate(self.batch(joined, add_special_tokens=False)):
+            group, ids = pieces[k * TOGETHER : (k + 1) * TOGETHER], np.array(found.ids, "<u4")
+            last = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(last) == len(group) and last[-1] == len(ids):
+                raw = ids.tobytes()
+                self.pieces.update((x, raw[4 * a : 4 * b]) for x, a, b in zip(group, [0, *last], last))
+            else:
+                self.pieces.update(zip(group, self.coded(group)))
+
+    def fill(self, chunks: list[bytes]) -> None:
+        """Ids of chunks that no generation has."""
+        plain: list[tuple[bytes, list[str]]] = []
+        other: list[bytes] = []
+        fresh: dict[str, None] = {}
+        known = self.pieces = {} if len(self.pieces) > 2 * CACHE_ENTRIES else self.pieces
+        for chunk in chunks:
+            text = chunk.decode()
+            if not _PLAIN.fullmatch(text):
+                other.append(chunk)
+                continue
+            cut = [text] if text.isalpha() else self.split(text)
+            plain.append((chunk, cut))
+            for x in cut:
+                if x not in known:
+                    fresh[x] = None
+        self.learn(list(fresh))
+        self.young.update([(chunk, known[cut[0]] if len(cut) == 1 else b"".join([known[x] for x in cut])) for chunk, cut in plain])
+        self.young.update(zip(other, self.coded([x.decode() for x in other])))
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if len(self.young) > CACHE_ENTRIES:
+            self.old, self.young = self.young, {}
         split = [t.lower().split() for t in texts]
-        cache, out = self.cache, []
+        lacking = set().union(*split) - self.young.keys()
+        again = [c for c in lacking if c in self.old]
+        self.young.update(zip(again, map(self.old.__getitem__, again)))
+        gc.disable()  # many small objects, and no cycles among them
         try:
-            return [b"".join([cache[c] for c in chunks]) for chunks in split]
-        except KeyError:
-            self.fill({c for chunks in split for c in chunks})
-            cache = self.cache
-        for chunks in split:
-            out.append(b"".join([cache[c] for c in chunks]))
-        return out
+            self.fill(list(lacking.difference(again)))
+        finally:
+            gc.enable()
+        known = self.young.__getitem__
+        return [b"".join(map(known, chunks)) for chunks in split]
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
@@ -107,12 +157,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Best fit decreasing: bins of indexes. Open bins are found by a bit mask over their free space."""
+    """Best fit in the given order: bins of indexes. Open bins are found by a bit mask over their free space."""
     bins: list[list[int]] = []
     by_free: dict[int, list[int]] = {}
     mask = 0
-    for k in sorted(range(len(lengths)), key=lengths.__getitem__, reverse=True):
-        size = lengths[k]
+    for k, size in enumerate(lengths):
         fits = mask >> size
         if fits:
             free = size + (fits & -fits).bit_length() - 1
@@ -129,78 +178,121 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _change(small: list[int], large: list[int], lengths: list[int], gap: int, least: int) -> tuple[int, list[int], list[int]] | None:
-    """The best (shift, from small, from large) that shifts `least`..`gap` tokens to the larger bin."""
-    best: tuple[int, list[int], list[int]] | None = None
-
-    def offer(shift: int, out: list[int], back: list[int]) -> bool:
-        nonlocal best
-        if least <= shift <= gap and (best is None or shift > best[0]):
-            best = (shift, out, back)
-        return best is not None and best[0] == gap
-
-    for a in small:
-        if offer(lengths[a], [a], []):
-            return best
-    order = sorted(large, key=lengths.__getitem__)
-    sizes = [lengths[b] for b in order]
-
-    def against(total: int, out: list[int]) -> bool:
-        """The smallest b in the larger bin with total - b <= gap gives the largest shift."""
-        k = bisect_right(sizes, total - gap - 1)
-        return k < len(order) and offer(total - sizes[k], out, [order[k]])
-
-    for a in small:
-        if against(lengths[a], [a]):
-            return best
-    for i, a in enumerate(small):
-        for b in small[:i]:
-            if against(lengths[a] + lengths[b], [a, b]):
-                return best
-    for i in range(len(order)):
-        for j in range(i):
-            back = sizes[i] + sizes[j]
-            for a in small:
-                if offer(lengths[a] - back, [a], [order[i], order[j]]):
-                    return best
-    return best
+class Search:
+    """Local search: which bin holds each document, and the changes that bring a bin's documents into fuller ones."""
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
+        self.bins, self.size, self.capacity = [list(b) for b in bins], np.array(lengths, np.int64), capacity
+        self.bin_of = np.zeros(len(lengths), np.int64)
+        for t, members in enumerate(self.bins):
+            self.bin_of[members] = t
+        self.fill = np.bincount(self.bin_of, weights=self.size, minlength=len(self.bins)).astype(np.int64)
+
+    def change(self, s: int) -> bool:
+        """Makes the change that shifts most tokens out of bin s into another underfull one; whether there was one.
+
+        A shift d from s to t changes the sum of squared fills by 2d(t - s + d), so d must be above
+        s - t and not above the gap of t. For each document b that may come back, the largest
+        documents or pairs x of s with x - b within the gap are found by bisection.
+        """
+        own = self.bins[s]
+        gap = np.where(self.fill > 0, self.capacity - self.fill, 0)
+        gap[s] = 0
+        least = np.maximum(self.fill[s] - self.fill, 0)
+        ones = {int(self.size[k]): (k,) for k in own}
+        pairs = {int(self.size[i] + self.size[j]): (i, j) for n, i in enumerate(own) for j in own[:n]}
+        best, found = 0, ((), (), -1)
+
+        def offer(outs: dict, back: np.ndarray, room: np.ndarray, above: np.ndarray) -> int:
+            """Where the largest shift is, or -1: x - back within room and over above."""
+            nonlocal best
+            if not outs or not len(back):
+                return -1
+            x = np.array(sorted(outs), np.int64)
+            at = np.searchsorted(x, back + room, side="right") - 1
+            shift = np.where(at >= 0, x[at], 0) - back
+            shift[shift <= above] = 0
+            k = int(shift.argmax())
+            if shift[k] <= best:
+                return -1
+            best = int(shift[k])
+            return k
+
+        none = np.zeros(len(self.fill), np.int64)
+        if (t := offer(ones, none, gap, least)) >= 0:
+            found = (ones[best], (), t)
+        if (k := offer(pairs | ones, self.size, gap[self.bin_of], least[self.bin_of])) >= 0:
+            x = best + int(self.size[k])
+            found = (ones.get(x) or pairs[x], (k,), int(self.bin_of[k]))
+        if not best:
+            first, second = self._pairs(gap)
+            if (p := offer(ones, self.size[first] + self.size[second], gap[self.bin_of[first]], least[self.bin_of[first]])) >= 0:
+                k, j = int(first[p]), int(second[p])
+                found = (ones[best + int(self.size[k] + self.size[j])], (k, j), int(self.bin_of[k]))
+        if not best:
+            return False
+        out, back, t = found
+        self.bins[s] = [k for k in own if k not in out] + list(back)
+        self.bins[t] = [k for k in self.bins[t] if k not in back] + list(out)
+        self.bin_of[list(out)] = t
+        self.bin_of[list(back)] = s
+        self.fill[s] -= best
+        self.fill[t] += best
+        return True
+
+    def _pairs(self, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The documents of all pairs that stand together in an underfull bin."""
+        item = np.flatnonzero(gap[self.bin_of] > 0)
+        item = item[np.argsort(self.bin_of[item], kind="stable")]
+        where, first, second = self.bin_of[item], [item[:0]], [item[:0]]
+        for apart in range(1, len(item)):
+            same = np.flatnonzero(where[apart:] == where[:-apart])
+            if not len(same):
+                break
+            first.append(item[same])
+            second.append(item[same + apart])
+        return np.concatenate(first), np.concatenate(second)
+
+    def run(self) -> list[list[int]]:
+        """Changes until the bins are at their lower bound, or a pass over all underfull bins has found none."""
+        floor = -(-int(self.fill.sum()) // self.capacity)
+        alive, stuck, changed = int((self.fill > 0).sum()), np.zeros(len(self.fill), bool), False
+        while alive > floor:
+            open_ = np.flatnonzero((self.fill > 0) & (self.fill < self.capacity) & ~stuck)
+            if not len(open_):
+                if not changed:
+                    break
+                stuck[:], changed = False, False
+                continue
+            s = int(open_[self.fill[open_].argmin()])
+            if self.change(s):
+                changed = True
+                alive -= not self.fill[s]
+            else:
+                stuck[s] = True
+        return [b for b in self.bins if b]
 
 
 def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
-    """Moves and exchanges between underfull bins while the sum of squared fills grows and bins are above their lower bound."""
-    fill = [sum(lengths[k] for k in b) for b in bins]
-    total = sum(fill)
-    floor = -(-total // capacity)
-    alive = sum(1 for f in fill if f)
-    for _ in range(ROUNDS):
-        if alive <= floor:
-            break
-        under = sorted((k for k, f in enumerate(fill) if 0 < f < capacity), key=fill.__getitem__)
-        done = False
-        for s in under[:4]:
-            for t in [k for k in reversed(under) if k != s and fill[k] >= fill[s]][:WINDOW] + [k for k in under[:WINDOW] if k != s and fill[k] >= fill[s]]:
-                # A shift d from s to t changes the sum by 2d(t - s + d), which is positive as t >= s.
-                found = _change(bins[s], bins[t], lengths, capacity - fill[t], 1)
-                if found:
-                    shift, out, back = found
-                    bins[s] = [k for k in bins[s] if k not in out] + back
-                    bins[t] = [k for k in bins[t] if k not in back] + out
-                    fill[s] -= shift
-                    fill[t] += shift
-                    done = True
-                    if not fill[s]:
-                        alive -= 1
-                        break
-            if done:
-                break
-        if not done:
-            break
-    return [b for b in bins if b]
+    """Moves and exchanges between underfull bins while they increase the sum of squared fills and bins are above their lower bound."""
+    return Search(bins, lengths, capacity).run()
 
 
 def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
-    """Bins of indexes into `lengths`, each of `capacity` at most."""
-    return local_search(best_fit(lengths, capacity), lengths, capacity)
+    """Bins of indexes into `lengths`, each of `capacity` at most.
+
+    Where the search from the order of arrival ends above the lower bound, it is run from the
+    decreasing order too, and the fewer bins are taken.
+    """
+    if not lengths:
+        return []
+    found = local_search(best_fit(lengths, capacity), lengths, capacity)
+    if len(found) * capacity - sum(lengths) >= capacity:
+        order = sorted(range(len(lengths)), key=lengths.__getitem__, reverse=True)
+        other = best_fit([lengths[k] for k in order], capacity)
+        again = local_search([[order[k] for k in b] for b in other], lengths, capacity)
+        found = min(found, again, key=len)
+    return found
 
 
 def _pack_group(key: tuple, group: pd.DataFrame, capacity: int) -> pd.DataFrame:

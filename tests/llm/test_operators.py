@@ -308,10 +308,52 @@ def test_op8_packing(spark, folder):
 
 
 def test_op8_search_saves_bins():
-    lengths = [rng.randrange(1, 60) for _ in range(300)]
-    bins = packing.pack_lengths(lengths, 100)
-    assert sorted(i for b in bins for i in b) == list(range(300)) and all(sum(lengths[i] for i in b) <= 100 for b in bins)
-    assert len(bins) <= len(packing.best_fit(lengths, 100))
+    dealt = random.Random(8)
+    for low, n in ((1, 300), (5, 500), (1, 2000)):
+        lengths = [dealt.randrange(low, 60) for _ in range(n)]
+        first, bins = packing.best_fit(lengths, 100), packing.pack_lengths(lengths, 100)
+        assert sorted(i for b in bins for i in b) == list(range(n)) and all(sum(lengths[i] for i in b) <= 100 for b in bins)
+        assert len(bins) < len(first) and len(bins) == math.ceil(sum(lengths) / 100)
+
+
+def test_op8_changes_increase_squares_and_none_is_left():
+    dealt = random.Random(9)
+    for n in range(2, 60):
+        lengths = [dealt.randrange(20, 70) for _ in range(n)]
+        search = packing.Search(packing.best_fit(lengths, 100), lengths, 100)
+        squares, change = [int((search.fill**2).sum())], search.change
+
+        def watched(s):
+            done = change(s)
+            squares.append(int((search.fill**2).sum()))
+            assert (squares[-1] > squares[-2]) == done and search.fill.max() <= 100
+            assert search.fill.tolist() == [sum(lengths[k] for k in b) for b in search.bins]
+            return done
+
+        search.change = watched
+        bins = search.run()
+        if len(bins) <= math.ceil(sum(lengths) / 100):
+            continue
+        fill = [sum(lengths[k] for k in b) for b in bins]
+        for s, own in enumerate(bins):  # above the lower bound: no change of any kind is left
+            for t, other in enumerate(bins):
+                if s == t or not 0 < fill[s] < 100 or not 0 < fill[t] < 100:
+                    continue
+                pairs = lambda b: [(x, y) for x in b for y in b if x < y]
+                kinds = [((x,), ()) for x in own] + [((x,), (y,)) for x in own for y in other] + [(x, (y,)) for x in pairs(own) for y in other] + [((x,), y) for x in own for y in pairs(other)]
+                for out, back in kinds:
+                    shift = sum(lengths[k] for k in out) - sum(lengths[k] for k in back)
+                    assert not (max(0, fill[s] - fill[t]) < shift <= 100 - fill[t])
+
+
+def test_op8_encoder_generations(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_ENTRIES", 20)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coder, own = tokenizers.Tokenizer.from_file(path), packing.WordEncoder(path)
+    odd = ["İ! ı ǅx 'S don't x y   é! Ⅷ９ ſ K\x1c z\x85q 東京 ΣΑΣ e\u0301\u0323 a\xa0b", "they'll we're 12,5 naïve\tX"]
+    for texts in ([*PROSE[:9], *odd], PROSE[5:30], [SECRET, "", *odd], PROSE):
+        expected = [b"".join(i.to_bytes(4, "little") for i in coder.encode(t, add_special_tokens=False).ids) for t in texts]
+        assert own.ids([t.encode() for t in texts]) == expected
 
 
 def test_op9_base_and_normalisation(spark, folder):
