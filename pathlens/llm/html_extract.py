@@ -1,11 +1,12 @@
 """Main text of HTML pages by minimum-cut labelling.
 
-A page becomes text blocks with their places in the element tree. A linear classifier gives each
-block a cost for either label, which is the capacity of its edge to a terminal; blocks that are
-neighbours on the page, or next to each other under one parent, are tied by edges that are heavier
-the closer they are in the tree. The minimum cut labels all blocks at once: a short paragraph
-between long ones stays, a lone link list goes. Blocks whose own cost outweighs all their ties are
-decided first, which leaves the minimum as it is and the max-flow small.
+A page becomes a graph. Its nodes are the text blocks and those elements whose tag, role or class
+says something (containers). A linear classifier gives each block a cost for either label from its
+own tag, size, links and wording, and each container one from its names; these are the capacities of
+the edges to the terminals. Blocks are tied to their nearest container and containers to the next one
+above, neighbours on the page to each other, by edges that are heavier the closer they stand in the
+tree. One maximum flow over the whole page labels all nodes: a footer's sentence goes although it
+reads like text, a short line of an article stays although it does not.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +30,11 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ENDS_P = BLOCK - frozenset("body html caption tbody td tfoot th thead tr legend summary".split())
 SELF_ENDING = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 AWAY_TAGS = frozenset("nav footer aside form menu dialog fieldset label".split())
+HOME_TAGS = frozenset(("article", "main"))
 AWAY_ROLES = frozenset("navigation banner contentinfo complementary alert alertdialog dialog search menu menubar toolbar form status".split())
+HOME_ROLES = frozenset(("main", "article"))
+#: Elements whose compound class names say less than the text in them.
+TEXTUAL = frozenset("p blockquote pre li dd dt td th figcaption h1 h2 h3 h4 h5 h6".split())
 #: Words of class and id names.
 AWAY_WORDS = frozenset(
     "ad ads adv advert advertisement adverts adsense banner sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice alert popup modal overlay "
@@ -37,7 +42,17 @@ AWAY_WORDS = frozenset(
     "share sharing social related recommended recommendations subscribe subscription newsletter signup login search widget tagcloud skip legal copyright".split()
 )
 HOME_WORDS = frozenset("article content post entry story main maincontent articlebody body text prose".split())
-HOME_TAGS = frozenset(("article", "main"))
+_NOTICE = re.compile(r"(?i)©|\bcopyright\b|all rights reserved|\bcookies?\b|privacy policy|terms of (?:use|service)|sign up|subscribe|log in")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: One attribute: a quote opens a value only behind the equals sign.
+_ATTRIBUTE = re.compile(r"""[\s/]*([^\s=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+_BETWEEN = re.compile(r"[\s/=]*")
+_WORDS = frozenset(
+    "ad ads adv advert advertisement adverts adsense banner sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice alert popup modal overlay "
+    "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead toolbar topbar pagination pager comment comments commentlist respond reply replies disqus discussion "
+    "share sharing social related recommended recommendations subscribe subscription newsletter signup login search widget tagcloud skip legal copyright".split()
+)
+HOME_WORDS = frozenset("article content post entry story main maincontent articlebody body text prose".split())
 _NOTICE = re.compile(r"(?i)©|\bcopyright\b|all rights reserved|\bcookies?\b|privacy policy|terms of (?:use|service)|sign up|subscribe|log in")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -45,28 +60,49 @@ _WORDS = re.compile(r"[a-z]+")
 _RAW_END = {tag: re.compile(rf"(?i)</{tag}[^>]*>?") for tag in RAW}
 
 SCALE = 100
+#: Evidence of a container by its tag or role, by a class name that is one of the words, by one that holds one, and hidden.
+TAG, NAME, PART, HIDDEN = 8.0, 6.0, 4.0, 30.0
+#: The most that ties a block to its container, a container to the next one, and what a step between them costs.
+HELD, NESTED, STEP = 6.0, 2.0, 0.5
+#: Weights of neighbours by their steps in the tree; further ones, and the share across containers.
+NEAR, FAR, ACROSS = (2.0, 1.6, 1.5, 0.8, 0.5), 0.25, 0.25
 
 
 class _Element:
-    __slots__ = ("away", "depth", "home", "link", "parent", "tag")
+    __slots__ = ("depth", "evidence", "link", "own", "parent", "tag", "within")
 
-    def __init__(self, tag: str, parent: _Element | None, attributes: str):
+    def __init__(self, tag: str, parent: _Element | None, found: dict[str, str]):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
         self.link = tag == "a" or bool(parent and parent.link)
-        away = home = False
-        if attributes and tag not in ("html", "body"):
-            found = {}
-            for m in _ATTRIBUTE.finditer(attributes):
-                found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
-            words = set(_WORDS.findall(f"{found.get('class', '')} {found.get('id', '')}".lower()))
-            role = found.get("role", "").lower()
-            home = role in ("main", "article") or "articleBody" in found.get("itemprop", "") or bool(words & HOME_WORDS and not words & AWAY_WORDS)
-            away = role in AWAY_ROLES or bool(words & AWAY_WORDS) or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-            if "header" in words and not words & HOME_WORDS:
-                away = away or not (parent and parent.home)
-        self.home = home or tag in HOME_TAGS or bool(parent and parent.home)
-        self.away = away or tag in AWAY_TAGS or (tag == "header" and not self.home) or bool(parent and parent.away)
+        above = parent.within if parent else None
+        home = bool(above and above.evidence > 0)
+        #: evidence makes it a container; own counts for its own text only.
+        self.evidence, self.own = 0.0, 0.0
+        if tag not in ("html", "body"):
+            self.evidence, self.own = _evidence(tag, found, home)
+        self.within = self if self.evidence else above
+
+
+def _evidence(tag: str, found: dict[str, str], home: bool) -> tuple[float, float]:
+    """What an element's tag and attributes say: (of all that is in it, of its own text only)."""
+    role = found.get("role", "").lower()
+    if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
+        return -HIDDEN, 0.0
+    if role in AWAY_ROLES or tag in AWAY_TAGS or (tag == "header" and not home):
+        return -TAG, 0.0
+    if role in HOME_ROLES or tag in HOME_TAGS or "articleBody" in found.get("itemprop", ""):
+        return TAG, 0.0
+    away = part = good = 0.0
+    for name in f"{found.get('class', '')} {found.get('id', '')}".lower().split():
+        words = set(_WORDS.findall(name))
+        if words & AWAY_WORDS or ("header" in words and not home):
+            away, part = max(away, NAME if name in AWAY_WORDS else PART), PART
+        elif words & HOME_WORDS:
+            good = PART
+    if tag in TEXTUAL and away <= PART:
+        return 0.0, 0.6 * (good - away)
+    return good - away if not good else good - part, 0.0
 
 
 class _Block:
@@ -78,8 +114,8 @@ class _Block:
 
 def parse(page: str) -> list[_Block]:
     """The text blocks of a page in order; character references are decoded, white space is one space."""
-    root = _Element("#root", None, "")
-    stack, out = [root], []
+    root = _Element("#root", None, {})
+    stack, out, standing = [root], [], Counter()
     parts: list[str] = []
     linked = dropped = 0
     owner = root
@@ -97,6 +133,7 @@ def parse(page: str) -> list[_Block]:
         """Ends the elements from the k-th of the stack on."""
         nonlocal dropped
         for e in stack[k:]:
+            standing[e.tag] -= 1
             dropped -= e.tag in DROPPED
         if any(e.tag in BLOCK for e in stack[k:]):
             flush()
@@ -139,23 +176,25 @@ def parse(page: str) -> list[_Block]:
                 at = lt + 1
             continue
         tag = m[0].lower()
-        gt = page.find(">", m.end())
-        if gt < 0:
+        at, found = m.end(), {}
+        while at < n and page[at] != ">":
+            part = None if closing else _ATTRIBUTE.match(page, at)
+            if part:
+                found.setdefault(part[1].lower(), part[2] or part[3] or part[4] or "")
+            after = part.end() if part else _BETWEEN.match(page, at).end()
+            at = after if after > at else at + 1
+        if at >= n:
             break
-        attributes = page[m.end() : gt]
-        if '"' in attributes or "'" in attributes:  # a quoted value may hold the mark
-            for quote in "\"'":
-                if attributes.count(quote) % 2 and (other := page.find(quote, gt)) >= 0 and (later := page.find(">", other)) >= 0 and "<" not in page[gt:other]:
-                    gt, attributes = later, page[m.end() : later]
-        at = gt + 1
+        empty, at = page[at - 1] == "/", at + 1
         if closing:
+            if not standing[tag]:
+                if tag in BLOCK:
+                    flush()
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     close(k)
                     break
-            else:
-                if tag in BLOCK:
-                    flush()
             continue
         if tag == "br":
             text(" ")
@@ -173,7 +212,7 @@ def parse(page: str) -> list[_Block]:
                         break
                     if stack[k].tag in BLOCK:
                         break
-        if tag == "body":  # ends a head that was left open
+        if tag == "body" and standing["head"]:  # ends a head that was left open
             for k in range(1, len(stack)):
                 if stack[k].tag == "head":
                     close(k)
@@ -185,28 +224,28 @@ def parse(page: str) -> list[_Block]:
                     break
                 if stack[k].tag in SELF_ENDING[tag]:
                     break
-        if attributes.endswith("/") and tag not in BLOCK and tag not in RAW:
+        if empty and tag not in BLOCK and tag not in RAW:
             continue
         if tag in RAW:
             end = _RAW_END[tag].search(page, at)
             at = end.end() if end else n
             continue
-        stack.append(_Element(tag, stack[-1], attributes))
+        stack.append(_Element(tag, stack[-1], found))
+        standing[tag] += 1
         dropped += tag in DROPPED
     flush()
     return out
 
 
 def cost(block: _Block) -> float:
-    """Log-odds that a block is content: the linear classifier."""
-    e, size = block.element, len(block.text)
-    tag = e.tag
-    out = -1.0 + 6.0 * e.home - 14.0 * e.away
+    """Log-odds that a block is content, by itself: the linear classifier."""
+    size, tag = len(block.text), block.element.tag
+    out = -1.0 + block.element.own
     out += 1.5 if tag in ("p", "blockquote", "pre") else 1.0 if tag in HEADINGS or tag == "figcaption" else -0.5 if tag in ("li", "td", "th", "dd", "dt") else 0.0
     out += min(3.0, math.log2(1 + size / 20)) - 7.0 * block.linked / size
     out += 0.5 * (block.text[-1] in ".!?…\"”»")
     if size < 200 and _NOTICE.search(block.text):
-        out -= 3.0 if not e.home else 1.0
+        out -= 3.0
     if size < 25 and tag not in HEADINGS:
         out -= 1.0
     return out
@@ -215,42 +254,26 @@ def cost(block: _Block) -> float:
 def tie(a: _Element, b: _Element) -> float:
     """Weight between neighbours: heavier the fewer steps their elements are apart in the tree."""
     steps, x, y = 0, a, b
-    while x is not y:
+    while x is not y and steps < len(NEAR):
         if x.depth >= y.depth:
             x, steps = x.parent, steps + 1
         else:
             y, steps = y.parent, steps + 1
-    weight = (2.0, 1.6, 1.5, 0.8, 0.5)[steps] if steps < 5 else 0.25
-    return weight if a.away == b.away and a.home == b.home else weight / 4
+    weight = NEAR[steps] if steps < len(NEAR) else FAR
+    return weight if a.within is b.within else weight * ACROSS
 
 
 def min_cut(gain: list[int], ties: list[tuple[int, int, int]]) -> list[bool]:
     """Labels that minimise the sum of gains forgone and ties cut.
 
     gain > 0 speaks for True. ties: (a, b, weight). True is the source side of the minimum cut.
-    Strong nodes are decided first (their ties can't turn them), then max-flow decides the rest.
     """
-    n = len(gain)
-    near: list[dict[int, int]] = [{} for _ in range(n)]
+    near: list[dict[int, int]] = [{} for _ in gain]
     for a, b, w in ties:
         if a != b and w > 0:
             near[a][b] = near[a].get(b, 0) + w
             near[b][a] = near[b].get(a, 0) + w
-    own, label = list(gain), [None] * n
-    todo = list(range(n))
-    while todo:
-        k = todo.pop()
-        if label[k] is None and abs(own[k]) > sum(w for j, w in near[k].items() if label[j] is None):
-            label[k] = own[k] > 0
-            for j, w in near[k].items():
-                if label[j] is None:
-                    own[j] += w if label[k] else -w
-                    todo.append(j)
-    rest = [k for k in range(n) if label[k] is None]
-    if rest:
-        for k, side in zip(rest, _max_flow(rest, own, near)):
-            label[k] = side
-    return label
+    return _max_flow(list(range(len(gain))), gain, near) if gain else []
 
 
 def _max_flow(nodes: list[int], own: list[int], near: list[dict[int, int]]) -> list[bool]:
@@ -316,17 +339,54 @@ def _max_flow(nodes: list[int], own: list[int], near: list[dict[int, int]]) -> l
             a = to[e]
 
 
-def label(blocks: list[_Block]) -> list[bool]:
+def graph(blocks: list[_Block]) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """(gain of each node, ties): the blocks first, then their containers.
+
+    A container's capacity grows with the blocks tied to it, so that it can hold all of them.
+    """
     gain = [round(SCALE * cost(b)) for b in blocks]
-    ties, last = [], {}
+    ties: list[tuple[int, int, int]] = []
+    number: dict[int, int] = {}
+    known: list[_Element] = []
+    held: list[int] = []
+
+    def of(e: _Element) -> int:
+        """The node of a container; those above it get theirs too."""
+        below = None
+        while e is not None:
+            fresh = id(e) not in number
+            if fresh:
+                number[id(e)] = len(blocks) + len(known)
+                known.append(e)
+                held.append(1)
+            if below is not None:
+                ties.append((number[id(below)], number[id(e)], round(SCALE * NESTED)))
+            if not fresh or e.parent is None:
+                break
+            below, e = e, e.parent.within
+        return 0
+
+    last: dict[int, int] = {}
     for k, b in enumerate(blocks):
+        e = b.element
+        if e.within is not None:
+            of(e.within)
+            node = number[id(e.within)]
+            held[node - len(blocks)] += 1
+            weight = min(abs(e.within.evidence) * 1.5, max(HELD, abs(e.within.evidence) - TAG + HELD)) - STEP * min(4, e.depth - e.within.depth)
+            ties.append((k, node, round(SCALE * weight)))
         if k:
-            ties.append((k - 1, k, round(SCALE * tie(blocks[k - 1].element, b.element))))
-        holder = id(b.element.parent)
+            ties.append((k - 1, k, round(SCALE * tie(blocks[k - 1].element, e))))
+        holder = id(e.parent)
         if holder in last and last[holder] != k - 1:
-            ties.append((last[holder], k, round(SCALE * tie(blocks[last[holder]].element, b.element) / 2)))
+            ties.append((last[holder], k, round(SCALE * tie(blocks[last[holder]].element, e) / 2)))
         last[holder] = k
-    return min_cut(gain, ties)
+    gain += [round(SCALE * e.evidence * n) for e, n in zip(known, held)]
+    return gain, ties
+
+
+def label(blocks: list[_Block]) -> list[bool]:
+    return min_cut(*graph(blocks))[: len(blocks)]
 
 
 def main_text(page: str | None) -> tuple[str, int, int]:
@@ -338,7 +398,7 @@ def main_text(page: str | None) -> tuple[str, int, int]:
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [main_text(p) for p in batch.column(batch.num_columns - 1).to_pylist()]
+        rows = [main_text(p.as_py()) for p in batch.column(batch.num_columns - 1)]  # one page at a time
         columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([len(r[0]) for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32())]
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*batch.schema.names[:-1], "text", "n_chars", "n_kept", "n_blocks"])
 

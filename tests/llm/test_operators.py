@@ -450,6 +450,60 @@ def test_op1_minimum_cut():
         assert value(html_extract.min_cut(gain, ties)) == min(value([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n))
 
 
+def extracted(page):
+    return html_extract.main_text(page)[0]
+
+
+def test_op1_quotes_and_names():
+    long = "A long paragraph that tells the story of a town, with commas, and goes on for a while."
+    assert extracted("""<p title="it's">The mayor didn't agree with the council on its plan for the old harbour.</p>""") == "The mayor didn't agree with the council on its plan for the old harbour."
+    assert extracted(f"<article><p title='a > b' data-x=\"c's > d\" hidden-not=1>{long}</p><p x=\"open>{long}</p></article>").startswith(long)
+    assert extracted(f'<body><div class="post comment-enabled"><p>{long}</p><p>{long}</p></div></body>') == f"{long}\n{long}"
+    assert extracted(f'<article><p>{long}</p><p class="text-social">{long}</p><p class="share">Share this with all your friends now.</p></article>') == f"{long}\n{long}"
+    assert extracted(f'<article><p>{long}</p><section class="comments"><p>{long}</p></section></article>') == long
+    assert extracted(f'<main><p>{long}</p><p hidden>{long}</p><div style="display: none"><p>{long}</p></div></main>') == long
+
+
+def test_op1_cut_turns_labels():
+    """On whole pages the cut labels blocks otherwise than their own cost does."""
+    import duckdb
+
+    pages = [r[0] for r in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet' ORDER BY page_id").fetchall()]
+    turned = 0
+    for page in pages:
+        blocks = html_extract.parse(page or "")
+        turned += any((html_extract.cost(b) > 0) != kept for b, kept in zip(blocks, html_extract.label(blocks)))
+    assert turned > len(pages) / 2
+
+
+def test_op1_plain_version():
+    """Pages of known make-up, against the text that they were made from."""
+    dealt = random.Random(4)
+    line = lambda n: " ".join(dealt.choices(VOCAB, k=n)).capitalize() + "."
+    for _ in range(60):
+        body = [line(dealt.randrange(2, 60)) for _ in range(dealt.randrange(1, 9))]
+        tag = dealt.choice(["article", 'div class="entry-content"', "main", 'div role="main"'])
+        junk = lambda: dealt.choice([f"<nav><ul><li><a href=/>{line(1)}</a></li><li><a href=/b>{line(2)}</a></li></ul></nav>", f'<div class="ad">{line(9)}</div>', f"<aside><p>{line(25)}</p></aside>", f"<form><label>{line(3)}</label><input name=q></form>", f'<div id="cookie-notice">{line(12)}</div>', f"<footer>&copy; {line(14)}</footer>", "<script>if (a < b) { x('<p>no</p>') }</script>", '<div class="comments"><p>' + line(30) + "</p></div>"])
+        parts = [f"<p>{t.replace(' ', '  ' + chr(10), 1)}" + dealt.choice(["", "</p>"]) for t in body]
+        page = f"<html><head><title>{line(3)}</title></head><body>{junk()}{junk()}<{tag}><h1>{body[0]}</h1>{''.join(parts)}</{tag.split()[0]}>{junk()}{junk()}</body></html>"
+        assert extracted(page) == "\n".join([body[0], *body])
+
+
+def test_op1_long_and_deep_pages():
+    import time
+
+    start = time.monotonic()
+    assert extracted("<div>" * 8000 + "</x>" * 8000 + "Some words at the end of a page that is nested deeply, all the same.") != ""
+    assert extracted("<article>" + "<p>Some words here, and more of them, to make up a line." * 20000 + "</article>").count("\n") == 19999
+    assert extracted("<b>" * 5000 + "<p>x<li>y" * 2000 + "<td") is not None
+    assert time.monotonic() - start < 30
+
+
+def test_op1_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "page_id long, url string, html string, text string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert run(spark, "op1_html_extraction", str(tmp_path)) == []
+
+
 @pytest.mark.parametrize("name", [n for n in queries.queries() if n != "op1_html_extraction"])
 def test_empty_tables(spark, docs, tmp_path, name):
     docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
