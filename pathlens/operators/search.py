@@ -9,7 +9,6 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathlens.plans.aliases import normalise
 from pathlens.plans.compiler import predicate, under
 from pathlens.plans.parser import ParsedQuery, QueryError, parse, to_ns
 
@@ -32,10 +31,7 @@ class Options:
 
 
 def understood(query: str, o: Options) -> ParsedQuery:
-    match_path = o.match_path
-    if o.aliases:
-        query, match_path = normalise(query, match_path)
-    return parse(query, match_path, o.case_sensitive, o.now, o.week_start)
+    return parse(query, o.match_path, o.case_sensitive, o.now, o.week_start, o.aliases)
 
 
 def condition(q: ParsedQuery, o: Options) -> Column:

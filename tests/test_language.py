@@ -6,9 +6,9 @@ import pytest
 
 from pathlens.operators import hierarchy
 from pathlens.operators.search import condition, count, explain, search, Options, understood
-from pathlens.plans.aliases import incomplete, normalise
-from pathlens.plans.parser import QueryError, parse, parse_size, render
+from pathlens.plans.parser import QueryError, parse, parse_size, render, unfinished
 
+# The trees and the names expected below.
 NODES = "volume string, frn long, parent_frn long, name string, attrs int, is_dir boolean, size long, mtime_ns long, deleted boolean"
 DAY = 86400 * 10**9
 TREE = """1:1:D:. 2:1:D:fixture 3:2:D:workspace 4:3:D:Assets 5:4:F:sample.dat 6:4:F:notes.txt 7:3:D:src 8:7:F:main.go
@@ -96,11 +96,17 @@ def test_dates():
     assert parse("dm:2d", now=now).dates[0][0] == at(6) + DAY // 2
 
 
-def test_aliases():
-    assert normalise("file:extension:.go")[0] == "type:file ext:go"
-    assert normalise("folder:regex:^src$")[0] == "type:dir regex:^src$"
-    assert normalise("fullpath:src main") == ("src main", True)
-    assert incomplete("abc ext:") and incomplete("abc .") and not incomplete("abc")
+@pytest.mark.parametrize("query,same,path", [
+    ("file:extension:.go", "type:file ext:go", False), ("folder:regex:^src$", "type:dir regex:^src$", False), ("fullpath:src main", "src main", True), ("files:main", "type:file main", False),
+    ("directory:", "type:dir", False), ("dir:", "type:dir", False), ("location:src ext:go", "dir:src ext:go", True), ("filename:a sz:>1k", "a size:>1k", False), ("!folder:old x", "!type:dir !old x", False),
+    ("datemodified:2026-01-01", "dm:2026-01-01", False), ("!ext:.go a", "!ext:go a", False), ("file:size:>1mb", "type:file size:>1mb", False), ("full-path:.go", "path:.go", True), ("case-sensitive:Ab", "case:Ab", False),
+])
+def test_aliases(query, same, path):
+    assert parse(query, aliases=True) == parse(same, path)
+
+
+def test_unfinished():
+    assert unfinished("abc ext:") and unfinished("abc .") and not unfinished("abc") and not unfinished("") and not unfinished("ext:go a")
 
 
 def test_missing_metadata(spark, first):
