@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import json
+import operator
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
@@ -98,6 +100,16 @@ def search(entries: DataFrame, query: str, options: Options = Options(), volumes
     return page.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # a page, not the table
 
 
+def union_page(entries: DataFrame, queries: list[str], limit: int = 0, **more) -> DataFrame:
+    """The best `limit` entries that any of the queries matches, each once, in the order of the first: one scan for all."""
+    o = Options(**more)
+    parsed = [understood(q, o) for q in queries]
+    order = order_of(parsed[0].sort)
+    either = functools.reduce(operator.or_, [condition(q, o) for q in parsed])
+    page = entries.filter(either).orderBy(*order).limit(limit if limit > 0 else DEFAULT_LIMIT)
+    return page.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # a page, not the table
+
+
 def count(entries: DataFrame, query: str, options: Options = Options(), volumes: DataFrame | None = None, **more) -> DataFrame:
     """One row with n, the exact number of matches whatever the limit. Path columns are read only if the query needs them."""
     o = Options(**(options.__dict__ | more))

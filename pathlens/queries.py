@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from pathlens.functions import paths
 from pathlens.operators import hierarchy, stats
-from pathlens.operators.search import as_json, count, matches, search
-from pathlens.sources.catalog import CUSTOMERS, excluded, info, merged, micros, star_entries, star_nodes, star_volumes, table
+from pathlens.operators.search import as_json, count, matches, search, union_page
+from pathlens.sources.catalog import CUSTOMERS, excluded, info, merged, micros, star_catalog, star_nodes, star_volumes, table
 from pathlens.streaming.changes import CREATE, DELETE, RENAME_NEW, RENAME_OLD, compact, replay
 
 NOW = datetime(1998, 8, 5, 12, tzinfo=timezone.utc)  # a Wednesday
@@ -49,13 +49,20 @@ after AS (SELECT e.volume, e.frn, coalesce(p.new_name, e.name) AS name, coalesce
  UNION ALL SELECT 'C:', p.frn, p.new_name, p.new_parent, 1024, coalesce(d.del > p.put, false) FROM puts p LEFT JOIN dels d USING (frn) WHERE p.frn NOT IN (SELECT frn FROM entries WHERE volume = 'C:'))
 """
 
+MOVED = r""",
+live AS (SELECT frn, parent_frn, name FROM after WHERE NOT deleted),
+walk AS (SELECT frn, name, CASE WHEN name = '.' THEN '' ELSE '\' || name END AS tail FROM live WHERE parent_frn = frn OR parent_frn NOT IN (SELECT frn FROM live)
+ UNION ALL SELECT l.frn, l.name, w.tail || '\' || l.name FROM live l JOIN walk w ON l.parent_frn = w.frn WHERE l.parent_frn <> l.frn),
+moved AS (SELECT frn, name, 'C:' || CASE WHEN tail = '' THEN '\' ELSE tail END AS path FROM walk)
+"""
+
 #: key: (query, options, SQL condition). All matches, unordered.
 FILTERS: dict[str, tuple[str, dict, str]] = {
     "C1_term_name": ("customer#0000001", {}, "contains(name_lc, 'customer#0000001')"),
     "C2_term_path": ("europe order-000001", {"match_path": True}, "contains(path_lc, 'europe') AND contains(path_lc, 'order-000001')"),
     "C3_and": ("urgent order 001", {}, "contains(name_lc, 'urgent') AND contains(name_lc, 'order') AND contains(name_lc, '001')"),
     "C4_or_groups": ("path:asia|path:africa ext:low", {}, "(contains(path_lc, 'asia') OR contains(path_lc, 'africa')) AND ext = 'low'"),
-    "C5_not": ("ext:urgent !00 -7.", {}, "ext = 'urgent' AND NOT contains(name_lc, '00') AND NOT contains(name_lc, '7.')"),
+    "C5_not": ("ext:urgent !11 -7.", {}, "ext = 'urgent' AND NOT contains(name_lc, '11') AND NOT contains(name_lc, '7.')"),
     "C6_ext_list": ("ext:.urgent|md", {}, "ext IN ('urgent', 'md')"),
     "C7_dotted_path_mode": ("path:EUROPE .high", {}, "contains(path_lc, 'europe') AND ext = 'high'"),
     "C8_dotted_name_mode": (".md", {}, "contains(name_lc, '.md')"),
@@ -79,7 +86,8 @@ FILTERS: dict[str, tuple[str, dict, str]] = {
     "C22_case": ("case:EUROPE", {"match_path": True}, "contains(path, 'EUROPE')"),
     "C23_volume": ("F: .md", {}, "volume = 'F:' AND contains(name_lc, '.md')"),
     "C24_under": ("order", {"under": r"c:\europe\NATION_3"}, r"contains(name_lc, 'order') AND starts_with(path_lc, 'c:\europe\nation_3\')"),
-    "C31_aliases": ("folder:nation_1 date:1998-01-01", {"aliases": True}, "is_dir AND contains(name_lc, 'nation_1') AND mtime_ns >= epoch_us(TIMESTAMP '1998-01-01') * 1000"),
+    "C31_aliases": ("location:nation_1 date:1998-01-01 extension:urgent sz:>1k", {"aliases": True}, "contains(path_lc, 'nation_1') AND ext = 'urgent' AND size > 1024 AND mtime_ns >= epoch_us(TIMESTAMP '1998-01-01') * 1000"),
+    "C31_folder_alias": ("folder:nation_1", {"aliases": True}, "is_dir AND contains(name_lc, 'nation_1')"),
     "C31_nested_alias": ("file:extension:.urgent name:0001", {"aliases": True}, "NOT is_dir AND ext = 'urgent' AND contains(name_lc, '0001')"),
 }
 
@@ -116,15 +124,15 @@ def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _filter(query: str, options: dict) -> Callable:
-    return lambda spark, sf_dir: matches(star_entries(spark, sf_dir), query, volumes=star_volumes(spark) if "F:" in query else None, **options).select(*SHOWN)
+    return lambda spark, sf_dir: matches(star_catalog(spark, sf_dir), query, volumes=star_volumes(spark) if "F:" in query else None, **options).select(*SHOWN)
 
 
 def _page(query: str, options: dict) -> Callable:
-    return lambda spark, sf_dir: search(star_entries(spark, sf_dir), query, **options).select("rank", *SHOWN)
+    return lambda spark, sf_dir: search(star_catalog(spark, sf_dir), query, **options).select("rank", *SHOWN)
 
 
 def _count(query: str, options: dict) -> Callable:
-    return lambda spark, sf_dir: count(star_entries(spark, sf_dir), query, **options)
+    return lambda spark, sf_dir: count(star_catalog(spark, sf_dir), query, **options)
 
 
 def _replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,53 +144,81 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         lambda s, d: merged(star_nodes(s, d).filter("frn % 3 <> 0"), star_nodes(s, d).withColumns({"size": F.lit(0).cast("long"), "mtime_ns": F.lit(0).cast("long")})).select("volume", "frn", "name", "size", "mtime_ns"),
         "SELECT volume, frn, name, CASE WHEN frn % 3 <> 0 THEN size ELSE 0 END AS size, CASE WHEN frn % 3 <> 0 THEN mtime_ns ELSE 0 END AS mtime_ns FROM entries"),
     "A7_exclude_subtree": (
-        lambda s, d: excluded(hierarchy.entries(star_nodes(s, d)), [r"c:\Asia", r"F:\src1"]).select("volume", "frn", "path"),
+        lambda s, d: excluded(star_catalog(s, d), [r"c:\Asia", r"F:\src1"]).select("volume", "frn", "path"),
         r"SELECT volume, frn, path FROM entries WHERE path_lc NOT IN ('c:\asia', 'f:\src1') AND NOT starts_with(path_lc, 'c:\asia\') AND NOT starts_with(path_lc, 'f:\src1\')"),
     "A14_info": (
-        lambda s, d: info(star_entries(s, d)),
+        lambda s, d: info(star_catalog(s, d)),
         "SELECT volume, count(*) AS n, count(*) FILTER (NOT is_dir) AS n_files, count(*) FILTER (is_dir) AS n_dirs, sum(size)::BIGINT AS bytes, max(mtime_ns) AS newest_ns FROM entries GROUP BY volume"),
     "B1_paths": (lambda s, d: hierarchy.entries(star_nodes(s, d)).select("volume", "frn", "path", "depth", "parent_name_lc"), "SELECT volume, frn, path, depth, parent_name_lc FROM entries"),
-    "B3_extension": (lambda s, d: star_entries(s, d).select("volume", "frn", "ext"), "SELECT volume, frn, ext FROM entries"),
+    "B3_extension": (lambda s, d: star_catalog(s, d).select("volume", "frn", "ext"), "SELECT volume, frn, ext FROM entries"),
     "B4_json": (
-        lambda s, d: as_json(search(star_entries(s, d), "ext:urgent sort:size", limit=30)),
+        lambda s, d: as_json(search(star_catalog(s, d), "ext:urgent sort:size", limit=30)),
         """SELECT rank, '{"path":"' || replace(path, '\\', '\\\\') || '","name":"' || name || '","is_dir":false,"size":' || size || ',"modified":"' || strftime(make_timestamp(mtime_ns // 1000), '%Y-%m-%dT%H:%M:%SZ') || '","index_source":"' || volume || '"}' AS json
 FROM (SELECT row_number() OVER (ORDER BY size, name_lc, path_lc, volume, frn) AS rank, * FROM entries WHERE ext = 'urgent') WHERE rank <= 30"""),
-    "B5_dir_and_base": (lambda s, d: star_entries(s, d).select("volume", "frn", paths.dir_name(F.col("path")).alias("dir"), paths.base_name(F.col("path")).alias("base")), r"SELECT volume, frn, regexp_replace(path, '\\[^\\]*$', '') AS dir, regexp_extract(path, '([^\\]*)$', 1) AS base FROM entries"),
+    "B5_dir_and_base": (lambda s, d: star_catalog(s, d).select("volume", "frn", paths.dir_name(F.col("path")).alias("dir"), paths.base_name(F.col("path")).alias("base")), r"SELECT volume, frn, regexp_replace(path, '\\[^\\]*$', '') AS dir, regexp_extract(path, '([^\\]*)$', 1) AS base FROM entries"),
     "B9_filetime": (lambda s, d: table(s, d, "orders").select("o_orderkey", paths.filetime_to_ns(micros("o_orderdate") * 10 + paths.FILETIME_EPOCH - F.lit(9 * 10**15)).alias("ns")), "SELECT o_orderkey, greatest(epoch_us(o_orderdate) * 1000 - 900000000000000000, 0) AS ns FROM orders"),
     "B10_grams": (lambda s, d: table(s, d, "part").select("p_partkey", F.explode(paths.grams(F.lower("p_name"))).alias("gram")), "SELECT DISTINCT p_partkey, substr(lower(p_name), i, 3) AS gram FROM (SELECT p_partkey, p_name, unnest(range(1, length(p_name) - 1)) AS i FROM part)"),
-    "C27_deleted": (lambda s, d: matches(star_entries(s, d).withColumn("deleted", F.col("frn") % 3 == 0), "order").select(*SHOWN), "SELECT volume, frn, path, is_dir, size, mtime_ns FROM entries WHERE contains(name_lc, 'order') AND frn % 3 <> 0"),
+    "C27_deleted": (lambda s, d: matches(star_catalog(s, d).withColumn("deleted", F.col("frn") % 3 == 0), "order").select(*SHOWN), "SELECT volume, frn, path, is_dir, size, mtime_ns FROM entries WHERE contains(name_lc, 'order') AND frn % 3 <> 0"),
     "D2_children": (lambda s, d: hierarchy.children(star_nodes(s, d)), "SELECT volume, parent_frn AS frn, count(*) AS n_children FROM entries WHERE parent_frn <> frn GROUP BY ALL"),
     "D6_descendants_of_hits": (
-        lambda s, d: hierarchy.descendants(e := hierarchy.entries(star_nodes(s, d)), matches(e, "type:dir nation_1").select("volume", "frn")).select("volume", "frn", "path"),
+        lambda s, d: hierarchy.descendants(e := star_catalog(s, d), matches(e, "type:dir nation_1").select("volume", "frn")).select("volume", "frn", "path"),
         "SELECT volume, frn, path FROM entries WHERE contains(path_lc, 'nation_1')"),
-    "E2_count_by_ext": (lambda s, d: stats.counts_by(star_entries(s, d), "ext"), "SELECT ext, count(*) AS n FROM entries GROUP BY ext"),
+    "E2_count_by_ext": (lambda s, d: stats.counts_by(star_catalog(s, d), "ext"), "SELECT ext, count(*) AS n FROM entries GROUP BY ext"),
     "E8_overlay_count": (lambda s, d: count(_replayed(s, d).withColumn("name_lc", F.lower("name")), "user"), "SELECT count(*) AS n FROM after WHERE NOT deleted AND contains(lower(name), 'user')"),
-    "E9_gram_frequency": (lambda s, d: stats.gram_frequencies(star_entries(s, d)), "SELECT gram, count(*) AS df FROM (SELECT DISTINCT volume, frn, substr(name_lc, i, 3) AS gram FROM (SELECT volume, frn, name_lc, unnest(range(1, length(name_lc) - 1)) AS i FROM entries)) GROUP BY gram"),
+    "E9_gram_frequency": (lambda s, d: stats.gram_frequencies(star_catalog(s, d)), "SELECT gram, count(*) AS df FROM (SELECT DISTINCT volume, frn, substr(name_lc, i, 3) AS gram FROM (SELECT volume, frn, name_lc, unnest(range(1, length(name_lc) - 1)) AS i FROM entries)) GROUP BY gram"),
     "E10_postings": (
-        lambda s, d: stats.postings(star_entries(s, d), F.col("ext")).select("key", "volume", "block", F.size("ids").alias("n"), F.element_at("ids", 1).alias("least")),
+        lambda s, d: stats.postings(star_catalog(s, d), F.col("ext")).select("key", "volume", "block", F.size("ids").alias("n"), F.element_at("ids", 1).alias("least")),
         "SELECT ext AS key, volume, frn // 1048576 AS block, count(*)::INT AS n, min(frn) AS least FROM entries GROUP BY ALL"),
-    "E11_gram_limit": (lambda s, d: stats.gram_frequencies(star_entries(s, d), 250), "SELECT gram, count(*) AS df FROM (SELECT DISTINCT volume, frn, substr(name_lc, i, 3) AS gram FROM (SELECT volume, frn, name_lc, unnest(range(1, length(name_lc) - 1)) AS i FROM entries)) GROUP BY gram HAVING count(*) <= 250"),
+    "E11_gram_limit": (lambda s, d: stats.gram_frequencies(star_catalog(s, d), 250), "SELECT gram, count(*) AS df FROM (SELECT DISTINCT volume, frn, substr(name_lc, i, 3) AS gram FROM (SELECT volume, frn, name_lc, unnest(range(1, length(name_lc) - 1)) AS i FROM entries)) GROUP BY gram HAVING count(*) <= 250"),
     "E14_latency_stats": (
         lambda s, d: stats.percentile_floor(table(s, d, "events").select("value"), "value", [0.5, 0.9, 0.95, 0.99]),
         "SELECT count(*) AS n, min(value) AS min, max(value) AS max, " + ", ".join(f"list_sort(list(value))[floor({p} * (count(*) - 1))::BIGINT + 1] AS p{round(p * 100)}" for p in (0.5, 0.9, 0.95, 0.99)) + " FROM events"),
     "E17_result_hash": (
-        lambda s, d: stats.result_hash(search(star_entries(s, d), "ext:urgent sort:size", limit=500)),
+        lambda s, d: stats.result_hash(search(star_catalog(s, d), "ext:urgent sort:size", limit=500)),
         "SELECT sha256(string_agg(path, chr(10) ORDER BY path)) AS hash FROM (SELECT path FROM entries WHERE ext = 'urgent' ORDER BY size, name_lc, path_lc, volume, frn LIMIT 500)"),
     "G3_except": (
-        lambda s, d: matches(e := star_entries(s, d), "ext:low").select("volume", "frn").join(matches(e, "path:asia").select("volume", "frn"), ["volume", "frn"], "left_anti"),
+        lambda s, d: matches(e := star_catalog(s, d), "ext:low").select("volume", "frn").join(matches(e, "path:asia").select("volume", "frn"), ["volume", "frn"], "left_anti"),
         "SELECT volume, frn FROM entries WHERE ext = 'low' AND NOT contains(path_lc, 'asia')"),
     "G6_interval_merge": (
         lambda s, d: hierarchy.merged_intervals(table(s, d, "part").select(F.col("p_brand").alias("volume"), (F.col("p_partkey") * 7).alias("start"), (F.col("p_partkey") * 7 + F.col("p_size") * 5).alias("end"))),
         """SELECT volume, min(s) AS start, max(e) AS "end" FROM (SELECT volume, s, e, sum(gap) OVER (PARTITION BY volume ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT volume, s, e, CASE WHEN s <= max(e) OVER (PARTITION BY volume ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS gap
 FROM (SELECT p_brand AS volume, p_partkey * 7 AS s, p_partkey * 7 + p_size * 5 AS e FROM part))) GROUP BY volume, island"""),
+    "G4_limited_union": (
+        lambda s, d: union_page(star_catalog(s, d), ["ext:low sort:size", "path:asia"], limit=60).select("rank", "volume", "frn", "path"),
+        "SELECT (row_number() OVER (ORDER BY size, name_lc, path_lc, volume, frn))::INT AS rank, volume, frn, path FROM entries WHERE ext = 'low' OR contains(path_lc, 'asia') QUALIFY rank <= 60"),
+    "E12_block_min_rank": (
+        lambda s, d: stats.block_least(hierarchy.numbered(hierarchy.dense_ids(star_catalog(s, d).select("volume", "frn", "name_lc")), ["name_lc", "frn"], "rank")),
+        "SELECT volume, record_id // 1024 AS block, min(rank) AS least FROM (SELECT volume, row_number() OVER (PARTITION BY volume ORDER BY frn) - 1 AS record_id, row_number() OVER (PARTITION BY volume ORDER BY name_lc, frn) - 1 AS rank FROM entries) GROUP BY ALL"),
+    "E13_build_statistics": (
+        lambda s, d: stats.build_statistics(star_catalog(s, d)),
+        "SELECT volume, count(*) AS n, count(*) FILTER (is_dir) AS n_dirs, 0::BIGINT AS n_deleted, sum(strlen(name))::BIGINT AS name_bytes, sum(strlen(path))::BIGINT AS path_bytes, max(depth) AS deepest, sum(len(list_distinct([name_lc[i : i + 2] for i in range(1, length(name_lc) - 1)])))::BIGINT AS n_grams FROM entries GROUP BY volume"),
+    "E15_nearest_rank": (
+        lambda s, d: stats.percentile_nearest(table(s, d, "events").select("value"), "value", [0.5, 0.95, 0.99]),
+        "SELECT count(*) AS n, min(value) AS min, max(value) AS max, " + ", ".join(f"list_sort(list(value))[ceil(count(*) * {p}::DOUBLE)::BIGINT] AS p{round(p * 100)}" for p in (0.5, 0.95, 0.99)) + " FROM events"),
+    "E16_upper_median": (lambda s, d: stats.upper_median(table(s, d, "events").select("value"), "value"), "SELECT count(*) AS n, min(value) AS min, max(value) AS max, list_sort(list(value))[count(*) // 2 + 1] AS median FROM events"),
+    "H10_gram_search": (
+        lambda s, d: stats.by_grams(e := star_catalog(s, d), stats.gram_table(e), "customer#0000001").select("volume", "frn", "path"),
+        "SELECT volume, frn, path FROM entries WHERE contains(name_lc, 'customer#0000001')"),
+    "H12_gram_intersection": (
+        lambda s, d: stats.by_grams(e := star_catalog(s, d), stats.gram_table(e), "order-0", "urgent", "11").select("volume", "frn", "path"),
+        "SELECT volume, frn, path FROM entries WHERE contains(name_lc, 'order-0') AND contains(name_lc, 'urgent') AND contains(name_lc, '11')"),
+    "H14_gram_count": (
+        lambda s, d: stats.gram_candidates(stats.gram_table(star_catalog(s, d)), stats.needle_grams("urgent", "r-00")).agg(F.count(F.lit(1)).alias("n")),
+        "SELECT count(*) AS n FROM entries WHERE " + " AND ".join(f"contains(name_lc, '{g}')" for g in ("-00", "ent", "gen", "r-0", "rge", "urg"))),
+    "J8_paths_after_moves": (
+        lambda s, d: hierarchy.entries(compact(_replayed(s, d))).select("volume", "frn", "path"),
+        "SELECT 'C:' AS volume, frn, path FROM moved"),
+    "F14_backfill": (
+        lambda s, d: search(hierarchy.entries(compact(_replayed(s, d))), "user", limit=25).select("rank", "frn", "path"),
+        "SELECT (row_number() OVER (ORDER BY lower(name), lower(path), frn))::INT AS rank, frn, path FROM moved WHERE contains(lower(name), 'user') QUALIFY rank <= 25"),
     "J5_journal_replay": (lambda s, d: _replayed(s, d).select("volume", "frn", "parent_frn", "name", "size", "deleted"), "SELECT volume, frn, parent_frn, name, size, deleted FROM after"),
     "J12_compaction": (lambda s, d: compact(_replayed(s, d)).select("volume", "frn", "name"), "SELECT volume, frn, name FROM after WHERE NOT deleted"),
-    "K2_dense_ids": (lambda s, d: hierarchy.dense_ids(star_nodes(s, d)).select("volume", "frn", "record_id"), "SELECT volume, frn, (row_number() OVER (PARTITION BY volume ORDER BY frn) - 1)::INT AS record_id FROM entries"),
+    "B7_dense_ids": (lambda s, d: hierarchy.dense_ids(star_nodes(s, d)).select("volume", "frn", "record_id"), "SELECT volume, frn, (row_number() OVER (PARTITION BY volume ORDER BY frn) - 1)::INT AS record_id FROM entries"),
     "K3_subtree_intervals": (
-        lambda s, d: hierarchy.subtree_intervals(hierarchy.entries(star_nodes(s, d))).select("volume", "frn", (F.col("sub_end") - F.col("sub_start")).alias("width")),
+        lambda s, d: hierarchy.subtree_intervals(star_catalog(s, d)).select("volume", "frn", (F.col("sub_end") - F.col("sub_start")).alias("width")),
         r"SELECT a.volume, a.frn, count(*) AS width FROM entries a JOIN (SELECT array_to_string(parts[:i], '\') AS prefix FROM (SELECT parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT string_split(rtrim(path_lc, '\'), '\') AS parts FROM entries))) b ON rtrim(a.path_lc, '\') = b.prefix GROUP BY a.volume, a.frn"),
     "K4_under_roots": (
-        lambda s, d: hierarchy.descendants(e := hierarchy.entries(star_nodes(s, d)), hierarchy.root_of(e, "C:/europe").unionByName(hierarchy.root_of(e, r"c:\EUROPE\nation_3"))).select("volume", "frn", "path"),
+        lambda s, d: hierarchy.descendants(e := star_catalog(s, d), hierarchy.root_of(e, "C:/europe").unionByName(hierarchy.root_of(e, r"c:\EUROPE\nation_3"))).select("volume", "frn", "path"),
         r"SELECT volume, frn, path FROM entries WHERE path_lc = 'c:\europe' OR starts_with(path_lc, 'c:\europe\')"),
 }
 
@@ -198,5 +234,8 @@ def oracle_sql() -> dict[str, str]:
         out[k] = f"{ENTRIES} SELECT * FROM (SELECT (row_number() OVER (ORDER BY {order}, path_lc, volume, frn))::INT AS rank, {shown} FROM entries WHERE {where}) WHERE rank <= {limit}"
     out |= {k: f"{ENTRIES} SELECT count(*) AS n FROM entries WHERE {w}" for k, (_, _, w) in COUNTS.items()}
     for k, (_, sql) in OTHERS.items():
-        out[k] = f"{ENTRIES}{JOURNAL if ' after' in sql else ''} {sql}" if " entries" in sql or " after" in sql else sql
+        if " moved" in sql:
+            out[k] = f"{ENTRIES}{JOURNAL}{MOVED} {sql}".replace("WITH regions", "WITH RECURSIVE regions", 1)
+        else:
+            out[k] = f"{ENTRIES}{JOURNAL if ' after' in sql else ''} {sql}" if " entries" in sql or " after" in sql else sql
     return out

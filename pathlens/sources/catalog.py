@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathlens.functions.paths import DIRECTORY, extension, stable_id
-from pathlens.operators.hierarchy import descendants
+from pathlens.operators.hierarchy import descendants, entries as tree_entries
+from pathlens.sources.storage import load, publish, shared_folder
 
 CUSTOMERS, ORDERS = 10**12, 2 * 10**12
 NODE_COLUMNS = ("volume", "frn", "parent_frn", "name", "attrs", "is_dir", "size", "mtime_ns", "deleted")
@@ -79,6 +82,28 @@ def star_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select(*nodes.columns, F.lower("name").alias("name_lc"), extension(F.lower("name")).alias("ext"), "parent_name_lc", path.alias("path"), F.lower(path).alias("path_lc"), (F.coalesce("dir_depth", F.lit(-1)) + 1).alias("depth"))
 
 
+_PUBLISHED: dict[tuple[str, str], str] = {}
+
+
+def star_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of star_nodes as a published catalog: built once by an application, then read from its columns.
+
+    Filters and the columns of a query reach the scan; nothing is joined again.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PUBLISHED:
+        root = f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}"
+        publish(tree_entries(star_nodes(spark, sf_dir)), root)
+        _PUBLISHED[key] = root
+    return load(spark, _PUBLISHED[key])
+
+
+def query_file(spark: SparkSession, path: str) -> list[str]:
+    """The queries of a text file: one a line, blank lines and those that begin with # left out."""
+    line = F.trim("value")
+    return [r[0] for r in spark.read.text(path).select(line.alias("q")).filter((F.col("q") != "") & ~F.col("q").startswith("#")).collect()]
+
+
 def star_volumes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("C:", True, True, True), ("F:", True, False, True)], "volume string, has_size boolean, has_mtime boolean, has_attrs boolean")
 

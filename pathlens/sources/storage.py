@@ -8,9 +8,23 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; a temporary one where none is named, as in local tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pathlens-")
+    """The folder that the session names in spark.checkpoint.dir.
+
+    Only a local master may go without and gets a temporary folder; elsewhere that would be a folder
+    that the other machines don't see.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="pathlens-"))
+    return _LOCAL[0]
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -123,3 +123,43 @@ def test_sources(spark, tmp_path):
 def test_percentiles(spark):
     got = stats.percentile_floor(spark.createDataFrame([(x,) for x in range(10)], "x int"), "x", [0.5, 0.99]).first()
     assert (got["n"], got["min"], got["max"], got["p50"], got["p99"]) == (10, 0, 9, 4, 8)
+
+
+def test_filters_and_columns_reach_the_published_catalog(spark):
+    from conftest import SF
+    from pathlens.operators.search import count, matches
+    from pathlens.sources.catalog import star_catalog
+
+    whole = star_catalog(spark, SF)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    said = plan(matches(whole, "ext:urgent size:>100k dm:1998-01-01").select("frn"))
+    assert "EqualTo(ext,urgent)" in said and "GreaterThan(size,102400)" in said and "GreaterThanOrEqual(mtime_ns," in said
+    assert "Join" not in said and "path" not in said.split("ReadSchema:")[1].split("\n")[0]
+    assert "PartitionFilters: [" in plan(matches(whole, "F: .md")) and "Exchange" not in plan(matches(whole, "path:asia"))
+    assert "name_lc" not in plan(count(whole, "size:>300000")).split("ReadSchema:")[1].split("\n")[0]
+
+
+def test_many_roots_are_joined(spark, monkeypatch):
+    whole = tree(spark, TREE).cache()
+    roots = whole.filter("name in ('src', 'Assets', 'workspace')").select("volume", "frn")
+    few = {r["frn"] for r in hierarchy.descendants(whole, roots).collect()}
+    monkeypatch.setattr(hierarchy, "FEW_ROOTS", 1)
+    assert {r["frn"] for r in hierarchy.descendants(whole, roots).collect()} == few and len(few) > 5
+
+
+def test_query_file_and_places(spark, tmp_path):
+    from pathlens.sources.catalog import query_file
+
+    (tmp_path / "q.txt").write_text("# a comment\n\nmain\n  ext:md \nregex:.*test.*\n")
+    assert query_file(spark, str(tmp_path / "q.txt")) == ["main", "ext:md", "regex:.*test.*"]
+    values = spark.createDataFrame([(x,) for x in (5, 1, 4, 2, 3, 6)], "x int")
+    assert stats.percentile_nearest(values, "x", [0.5, 0.95]).first().asDict() == {"n": 6, "min": 1, "max": 6, "p50": 3, "p95": 6}
+    assert stats.upper_median(values, "x").first()["median"] == 4
+
+
+def test_grams(spark):
+    whole = tree(spark, TREE)
+    table = stats.gram_table(whole)
+    for needles in (("main",), ("te", "me"), ("volume", ".bin"), ("zzz",)):
+        expected = sorted(r["name"] for r in whole.collect() if all(n in r["name"].lower() for n in needles))
+        assert sorted(r["name"] for r in stats.by_grams(whole, table, *needles).collect()) == expected
