@@ -131,6 +131,7 @@ def test_filters_and_columns_reach_the_published_catalog(spark):
     from pathlens.sources.catalog import star_catalog
 
     whole = star_catalog(spark, SF)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     said = plan(matches(whole, "ext:urgent size:>100k dm:1998-01-01").select("frn"))
     assert "EqualTo(ext,urgent)" in said and "GreaterThan(size,102400)" in said and "GreaterThanOrEqual(mtime_ns," in said
