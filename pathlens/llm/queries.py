@@ -40,7 +40,7 @@ def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets_scan.scan(table(spark, sf_dir, "documents"))
     number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select(F.col("id").alias("doc_id"), number("assign"), number("access"), number("hex"), F.sha2(secrets_scan.spelled(F.col("base")).cast("binary"), 256).alias("base_sha256"), secrets_scan.spelled(F.col("spans")).alias("spans"))
+    return found.select(F.col("id").alias("doc_id"), number("assign"), number("access"), number("hex"), F.sha2(secrets_scan.spelled(F.col("base")).cast("binary"), 256).alias("base_sha256"), secrets_scan.spelled(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_entropy"), F.size("candidates").cast("long").alias("n_candidates"), F.array_max(F.transform("candidates", lambda c: c["score"])).alias("highest_entropy"))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
