@@ -22,6 +22,7 @@ Unigrams are discounted likewise; what that leaves is the probability of an unkn
 from __future__ import annotations
 
 import functools
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -244,17 +245,22 @@ def _facts(key: tuple, group: pd.DataFrame, parts: int, total: int, distinct: in
     history, word, owner = history[there].astype(np.int64), local[there].astype(np.int64), owner[there]
     known_word = count > 0
     part_of = (mix(ident.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-    pair = (part_of[history] << (2 * _BITS)) | (history << _BITS) | np.where(known_word[word], word + 1, 0)
-    order = np.argsort(pair, kind="stable")
-    pair, owner, weight = pair[order], owner[order], train[owner[order]]
-    starts = np.flatnonzero(np.diff(pair, prepend=-1))
-    distinct_pair, spans = pair[starts], np.diff(np.append(starts, len(pair)))
+    code = np.where(known_word[word], word + 1, 0)
+    if len(count) < 1 << _BITS and parts < 1 << (62 - 2 * _BITS):
+        order = np.argsort((part_of[history] << (2 * _BITS)) | (history << _BITS) | code, kind="stable")
+    else:  # too many words in a block, or partitions, for one sort key
+        order = np.lexsort((code, history, part_of[history]))
+    history, code, owner, weight = history[order], code[order], owner[order], train[owner[order]]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (history[1:] != history[:-1]) | (code[1:] != code[:-1])
+    starts = np.flatnonzero(fresh)
+    spans = np.diff(np.append(starts, len(order)))
     trained = np.add.reduceat(weight.astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
-    h, w = (distinct_pair >> _BITS) & ((1 << _BITS) - 1), (distinct_pair & ((1 << _BITS) - 1)) - 1
-    edges = np.searchsorted(distinct_pair >> (2 * _BITS), np.arange(parts + 1))
+    h, w = history[starts], code[starts] - 1
+    edges = np.searchsorted(part_of[h], np.arange(parts + 1))
     for part, (low, high) in enumerate(zip(edges, edges[1:])):
         if low < high:
-            a, b = starts[low], starts[high] if high < len(starts) else len(pair)
+            a, b = starts[low], starts[high] if high < len(starts) else len(order)
             these = w[low:high]
             rows.append(_row(PAIRS, block, part, _pack(_steps(ident[h[low:high]])), _pack(np.where(these < 0, UNKNOWN, ident[these])), _pack(np.where(these < 0, 0, count[these])), _pack(trained[low:high].astype(np.int32)), _pack(spans[low:high].astype(np.int32)), _pack(owner[a:b].astype(np.int32))))
     return pd.DataFrame(rows, columns=_NAMES)
@@ -335,6 +341,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     paired = np.zeros(DISCOUNTED + 2, np.int64)
     for r in pairs.groupBy("part").applyInPandas(_counts_of_counts, ROW).select("a").collect():  # a few numbers of each partition
         paired += np.frombuffer(r["a"], "<i8")
+    del pairs  # what this pass shuffled is not read again: its files go before the next one writes its own
+    gc.collect()
+    docs.sparkSession.sparkContext._jvm.System.gc()
     made = checkpointed(plain.mapInArrow(functools.partial(_blocked, parts=parts), ROW))
     replies = checkpointed(made.filter(F.col("kind") == WORDS).groupBy("part").applyInPandas(_totals, ROW))
     stats = np.zeros(DISCOUNTED + 4, np.int64)
