@@ -28,8 +28,8 @@ from pathlens.llm.ngram_join import shingles, signatures
 
 #: The bound of the labelled sample that the classifier is fitted on.
 SAMPLE_ROWS = 20_000
-#: A term's least share of the toxic texts of the sample and least log-odds; bounds of its length and of the lexicon.
-LEAST_SHARE, LEAST_ODDS, SHORTEST, LONGEST, TERMS = 0.004, 4.0, 4, 14, 300
+#: A term's least share of the toxic texts of the sample and least log-odds; lengths of beginnings. Shorter and longer words are terms as wholes.
+LEAST_SHARE, LEAST_ODDS, SHORTEST, LONGEST = 0.004, 4.0, 4, 14
 WINDOW, BLOCK_BYTES = 5, 1 << 20
 # Fixed word lists: words of saying before a quoted term, and words that address somebody.
 SAYING = ("called", "says", "said", "saying", "wrote", "word", "words", "term", "quote", "quoted", "quoting", "named")
@@ -226,7 +226,7 @@ def features(model: Model, texts: list[str], surfaces: list[set] | None = None)
             inside = (int(marks[starts[k]]) - opened) % 2 == 1 and int(marks[bounds[doc + 1] - 1]) > int(marks[ends[k] - 1])
             quoted = inside or any(w in SAYING for w in around[: min(k - low, WINDOW)][-3:])
             kind = "fuzzy" if errors else "terms"
-            count[kind] += 1
+            count[kind] += not quoted  # what is quoted is no abuse of its own
             count["fuzzy_quoted" if errors else "quoted"] += quoted
             count["addressed"] += (not quoted) and any(w in ADDRESS for w in around)
             if not errors and not quoted:
@@ -243,9 +243,10 @@ def _beginnings(text: str) -> set[str]:
     lowered = text.lower()
     out = set()
     for word in {lowered[a:b] for a, b in zip(starts.tolist(), ends.tolist())}:
-        if len(word) >= SHORTEST:
-            whole = word + END
-            out.update(whole[:k] for k in range(SHORTEST, min(len(whole), LONGEST) + 1))
+        whole = word + END
+        if len(word) >= 2:
+            out.add(whole)
+        out.update(whole[:k] for k in range(SHORTEST, min(len(word), LONGEST) + 1))
     return out
 
 
@@ -286,12 +287,12 @@ def choose_terms(rows: list[tuple[str, int, int]], toxic: int, clean: int) -> tu
         longer[t[:-1]].append(t)
     chosen: dict[str, float] = {}
     for t in sorted(count, key=lambda t: (len(t), t)):
-        if odds[t] < LEAST_ODDS or any(t[:k] in odds and odds[t[:k]] >= LEAST_ODDS for k in range(SHORTEST, len(t))):
+        if odds[t] < LEAST_ODDS or any(t[:k] in odds and odds[t[:k]] >= LEAST_ODDS for k in range(SHORTEST, min(len(t) - 1, LONGEST) + 1)):
             continue
         while (n := max(longer[t], key=count.__getitem__, default=None)) and count[n] >= 0.95 * count[t]:
             t = n
         chosen[t] = odds[t]
-    best = sorted(chosen, key=lambda t: (-count[t], t))[:TERMS]
+    best = sorted(chosen, key=lambda t: (-count[t], t))
     return best, [chosen[t] for t in best]
 
 

@@ -227,6 +227,40 @@ def test_op4_automaton():
     assert hit("grumble") and hit("grunble") and hit("grmble") and not hit("granola")
 
 
+def test_op4_automaton_against_edit_distance():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i] + [0] * len(b), row
+            for j, y in enumerate(b, 1):
+                row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
+        return row[-1]
+
+    dealt = random.Random(44)
+    term = "bananas"
+    machine = toxicity.build([term + "\0"])
+    for _ in range(1500):
+        word = list(term)
+        for _ in range(dealt.randrange(0, 4)):
+            at = dealt.randrange(1, max(2, len(word)))
+            word[at : at + dealt.randrange(0, 2)] = dealt.choices("abnsx", k=dealt.randrange(0, 2))
+        word = "".join(word)
+        best = toxicity.matches(machine, *toxicity.words_of(word))
+        assert (len(best) > 0 and best[0] < toxicity.NONE) == (distance(word, term) <= toxicity.errors_allowed(term + "\0")), word
+
+
+def test_op4_quotation_is_no_abuse(spark):
+    dealt = random.Random(45)
+    clean = lambda: " ".join(dealt.choices(VOCAB, k=30))
+    rows = [(k, f"{clean()} you are a {dealt.choice(['grumblor', 'fizzwit'])} and a fool {clean()}" if k % 2 else clean()) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, toxic int"))
+    base = clean()
+    asked = [(1, f"{base} you are a grumblor and a fool {base}"), (2, f'{base} the letter named him "grumblor" once {base}'), (3, f"{base} you are a grumblur and fizwit {base}"), (4, base), (5, f"{base} the word grumblor {base}")]
+    got = {r["id"]: r["score"] for r in toxicity.score(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    assert got[1] >= 0.5 and got[2] < 0.5 and got[4] < 0.5 and got[5] < 0.5 and got[2] < got[1]
+
+
 def test_op5_round_trip(spark, folder):
     for r in run(spark, "op5_mpeg_audio", folder):
         raw = clean(r["doc_id"]).encode()
@@ -466,13 +500,63 @@ def test_op9_discounts_of_all_partitions(spark, monkeypatch):
     assert got == {k: pytest.approx(x, rel=1e-9) for k, x in expected.items()}
 
 
+def test_op9_probabilities_sum_to_one():
+    import numpy as np
+
+    dealt = np.random.default_rng(3)
+    counts = dealt.zipf(1.6, 400)
+    counted = np.bincount(np.minimum(counts, 7), minlength=8)[:7]
+    p = katz.unigram(int(counts.sum()), 400, counted)
+    pw = np.append(p(counts), p(np.zeros(1, int)))  # all known words and the unknown one
+    assert pw.sum() == pytest.approx(1, abs=1e-9)
+    d = katz.discounts(np.array([0, 900, 200, 90, 50, 30, 20]))
+    for seen in (0, 1, 5, 200, 399):
+        c = np.zeros(401, int)
+        c[dealt.permutation(400)[:seen]] = dealt.integers(1, 9, seen)
+        ratio, _ = katz.backoff(np.zeros(401, int), pw, c, d)
+        assert (10**ratio * pw).sum() == pytest.approx(1, abs=1e-9)
+
+
+def test_op9_same_scores_for_any_partitions(spark, monkeypatch):
+    texts = zipf_texts(400)
+    rows, found = spark.createDataFrame([*texts.items()], "doc_id long, text string"), []
+    for rows_a_part, bits in ((1_000_000, 22), (58, 22), (2, 22), (58, 4)):
+        monkeypatch.setattr(katz, "PART_ROWS", rows_a_part)
+        monkeypatch.setattr(katz, "_BITS", bits)  # 4: more words than a packed key holds
+        found.append({r["id"]: r["score"] for r in katz.score(rows).collect()})
+    assert all(f == {k: pytest.approx(x, rel=1e-9) for k, x in found[0].items()} for f in found[1:])
+
+
 def test_op10_templates(spark):
-    name, text = next((n, t) for n, t in license_scan.TEMPLATES.items())
-    rows = [(1, "before " * 300 + text.upper() + " after" * 300), (2, "nothing here"), (3, None), (4, "")]
-    got = {r["id"]: [m["license"] for m in r["licenses"]] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert name in got[1] and got[2] == got[3] == got[4] == []
-    for n, t in license_scan.TEMPLATES.items():
-        assert license_scan.words_of(t), n
+    """Every template is found whole and with words changed up to the containment, by a plain scan and by the operator alike."""
+    dealt = random.Random(10)
+    rows = [(1000, "nothing here"), (1001, None), (1002, "")]
+    for k, (name, text) in enumerate(license_scan.TEMPLATES.items()):
+        words = text.split()
+        rows.append((k, "before " * dealt.randrange(0, 300) + text.upper() + " after" * 300))
+        if len(words) > 40:
+            words[len(words) // 2] = "changed"
+            rows.append((100 + k, " ".join([*dealt.choices(VOCAB, k=70), *words, *dealt.choices(VOCAB, k=50)])))
+            rows.append((200 + k, " ".join(words[: len(words) // 3])))
+
+    def plain(text):
+        out = set()
+        words = license_scan.words_of(text or "")
+        for name, size, shingles in license_scan.templates():
+            held = [license_scan.shingle_hash(words[i : i + size]) for i in range(len(words) - size + 1)]
+            base = license_scan.base_of(len(shingles))
+            if any(len(shingles.intersection(held[at : at + 2 * base])) / len(shingles) >= license_scan.CONTAINMENT for at in range(0, max(1, len(held)), base)):
+                out.add(name)
+        return out
+
+    df = license_scan.scan(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, licenses string"))
+    got = {r["id"]: {m["license"] for m in r["licenses"]} for r in df.collect()}
+    expected = {k: plain(t) for k, t in rows}
+    found = sum(len(got[k] & expected[k]) for k in expected)
+    assert all(got[k] <= expected[k] for k in expected) and found >= 0.99 * sum(map(len, expected.values()))
+    assert all(name in got[k] for k, name in enumerate(license_scan.TEMPLATES)) and got[1000] == got[1001] == got[1002] == set()
+    assert df.filter("size(licenses) > 0").count() == sum(map(bool, got.values()))
+    assert df.selectExpr("id", "explode(licenses) AS m").count() == sum(map(len, got.values()))
 
 
 def test_op1_pages(spark):
