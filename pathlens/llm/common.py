@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -79,6 +81,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the shuffle files of finished passes deleted, once nothing refers to them.
+
+    Spark's cleaner follows the driver's garbage collection: the first round frees Python's handles, the next ones their data.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, memoryview]:
     """Offsets and bytes of a string or binary column; a null counts as empty."""
     if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):

@@ -22,7 +22,6 @@ Unigrams are discounted likewise; what that leaves is the probability of an unkn
 from __future__ import annotations
 
 import functools
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathlens.llm.common import blocks, checkpointed, split_residue, utf8
+from pathlens.llm.common import blocks, checkpointed, release, split_residue, utf8
 from pathlens.llm.ngram_join import _BASE, _powers, mix
 
 DISCOUNTED = 5
@@ -341,14 +340,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     paired = np.zeros(DISCOUNTED + 2, np.int64)
     for r in pairs.groupBy("part").applyInPandas(_counts_of_counts, ROW).select("a").collect():  # a few numbers of each partition
         paired += np.frombuffer(r["a"], "<i8")
-    del pairs  # what this pass shuffled is not read again: its files go before the next one writes its own
-    gc.collect()
-    docs.sparkSession.sparkContext._jvm.System.gc()
+    del pairs
+    release(docs.sparkSession)  # what this pass shuffled is not read again
     made = checkpointed(plain.mapInArrow(functools.partial(_blocked, parts=parts), ROW))
     replies = checkpointed(made.filter(F.col("kind") == WORDS).groupBy("part").applyInPandas(_totals, ROW))
     stats = np.zeros(DISCOUNTED + 4, np.int64)
     for r in replies.filter(F.col("kind") == STATS).select("a").collect():  # a few numbers of each partition
         stats += np.frombuffer(r["a"], "<i8")
+    release(docs.sparkSession)
     total, distinct, counted = int(stats[0]), int(stats[1]), (0, *map(int, stats[3:]))
     known = made.filter(F.col("kind") == TEXTS).unionByName(replies.filter(F.col("kind") == TOTALS))
     facts = known.groupBy("block").applyInPandas(functools.partial(_facts, parts=parts, total=total, distinct=distinct, counted=counted), ROW)
