@@ -338,10 +338,10 @@ def _round_trip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             back = samples8(stored, parsed)
             codes = np.frombuffer(back, np.uint8)
             feature = f"mpeg{parsed['version']}-layer{parsed['layer']};hz={parsed['sample_rate']};frames={parsed['frames']};samples={parsed['samples']};vbr={parsed['vbr']}:{parsed['vbr_frames']};crc={parsed['crc_ok']}/{parsed['crc_ok'] + parsed['crc_bad']};skipped={parsed['skipped_bytes']};seek={parsed['seek'][0]}-{parsed['seek'][-1]};sum={int(codes.sum(dtype=np.int64))};peak={int(codes.max())};steps={int(np.count_nonzero(codes[1:] != codes[:-1]))}"
-            rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, parsed["duration_s"], stored))
+            rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, parsed["duration_s"], parsed["seek"]))
         columns = list(zip(*rows)) if rows else [()] * 9
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns[:8], kinds[:8]))], ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "duration_s"])
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "duration_s", "seek"])
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -361,10 +361,10 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Stores each text, reads the stream back and describes both, in one pass without a shuffle.
 
     (id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature,
-    duration_s). A null text counts as empty: one frame of spaces. Equal texts give equal values;
+    duration_s, seek), seek being the byte offset of every frame. A null text counts as empty: one frame of spaces. Equal texts give equal values;
     repeated rows stay. A task holds one Arrow batch and one stream at a time.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(
-        _round_trip, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_s double"
+        _round_trip, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_s double, seek array<long>"
     )

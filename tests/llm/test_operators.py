@@ -15,7 +15,7 @@ import tokenizers
 
 import corpus_pipeline
 from conftest import SF
-from pathlens.llm import bm25, html_extract, katz, license_scan, ngram_join, packing, queries, secrets_scan, toxicity
+from pathlens.llm import bm25, html_extract, katz, license_scan, mpeg_audio, ngram_join, packing, queries, secrets_scan, toxicity
 from pathlens.llm.common import table
 
 rng = random.Random(5)
@@ -268,6 +268,69 @@ def test_op5_round_trip(spark, folder):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
 
 
+def layer3(n, crc=False, kbit=128, bad=()):
+    """n MPEG-1 layer III frames of 44.1 kHz stereo, with CRC words on demand; those in `bad` get a wrong one."""
+    index, out = mpeg_audio.BITRATES[True, 3].index(kbit), []
+    for k in range(n):
+        head = bytes((0xFF, 0xFA if crc else 0xFB, index << 4, 0x00))
+        size = 144000 * kbit // 44100
+        side = bytes((k * 7 + j) % 200 for j in range(32))
+        word = mpeg_audio.crc16_bits(head + b"\0\0" + side, 8 * 32).to_bytes(2, "big") if crc else b""
+        if k in bad:
+            word = bytes((word[0] ^ 1, word[1]))
+        out.append((head + word + side).ljust(size, b"\x11"))
+    return out
+
+
+def test_op5_resynchronises_after_damage():
+    made = layer3(20)
+    size = len(made[0])
+    junk = b"\xff\xfb\x90\x00 not a frame " + bytes(50)  # looks like a header, but no frame follows it
+    parsed = mpeg_audio.parse(junk + b"".join(made[:10]) + b"\x00\xff\xe0" + b"".join(made[10:]) + b"\xff")
+    expected = [len(junk) + size * k + (3 if k >= 10 else 0) for k in range(20)]
+    assert parsed["seek"] == expected and parsed["frames"] == 20 and parsed["skipped_bytes"] == len(junk) + 3 + 1
+    assert parsed["samples"] == 20 * 1152 and parsed["duration_s"] == 20 * 1152 / 44100 and mpeg_audio.seek(parsed, 1152 * 12 + 5) == expected[12]
+    assert mpeg_audio.seek(parsed, 20 * 1152) is None and mpeg_audio.parse(b"")["layer"] is None and mpeg_audio.parse(b"no audio" * 99)["frames"] == 0
+
+
+def test_op5_checksums():
+    parsed = mpeg_audio.parse(b"".join(layer3(15, crc=True, bad=(3, 9, 10))))
+    assert (parsed["crc_ok"], parsed["crc_bad"]) == (12, 3)
+    stored = bytearray(mpeg_audio.store(b"x" * 192 * 5))
+    whole = mpeg_audio.parse(bytes(stored))
+    stored[whole["seek"][2] + 8] ^= 0x10  # in the allocation, which the checksum covers
+    broken = mpeg_audio.parse(bytes(stored))
+    assert whole["crc_bad"] == 0 and broken["crc_bad"] == 1 and broken["frames"] == whole["frames"] == 5
+
+
+def test_op5_tags_and_tables():
+    import struct
+
+    frames = layer3(12)
+    side = 36
+    xing = (frames[0][:4] + bytes(32) + b"Xing" + struct.pack(">III", 7, 12, 5000) + bytes(range(100)) + b"LAME3.100" + bytes(12) + ((576 << 12) | 1000).to_bytes(3, "big")).ljust(len(frames[0]), b"\0")
+    id3 = mpeg_audio._id3([("TIT2", "A title"), ("TPE1", "Somebody")])
+    last = b"TAG" + b"Old title".ljust(30, b"\0") + b"Old artist".ljust(30, b"\0") + b"Album".ljust(30, b"\0") + b"1999" + bytes(31)
+    parsed = mpeg_audio.parse(id3 + xing + b"".join(frames) + last)
+    assert "TIT2=A title" in parsed["tags"] and "id3v1.year=1999" in parsed["tags"] and parsed["vbr"] == "Xing" and parsed["vbr_frames"] == 12
+    assert parsed["frames"] == 12 and parsed["samples"] == 12 * 1152 - 1576 and parsed["seek"][0] == len(id3) + len(xing) and parsed["skipped_bytes"] == 0
+    vbri = (frames[0][:4] + bytes(32) + b"VBRI" + bytes(6) + struct.pack(">IIHHHH", 9000, 12, 3, 2, 2, 4) + struct.pack(">HHH", 10, 20, 30)).ljust(len(frames[0]), b"\0")
+    found = mpeg_audio.table(vbri, 0, len(vbri), mpeg_audio.header(int.from_bytes(vbri[:4], "big")))
+    assert (found["name"], found["frames"], found["bytes"], found["toc"], found["per"]) == ("VBRI", 12, 9000, [20, 40, 60], 4) and side == 36
+    key = b"Artist\0Someone"
+    item = struct.pack("<II", 7, 0) + key
+    ape = item + b"APETAGEX" + struct.pack("<IIII", 2000, len(item) + 32, 1, 0) + bytes(8)
+    parsed = mpeg_audio.parse(b"".join(frames) + ape)
+    assert parsed["tags"] == "ape.Artist=Someone" and parsed["frames"] == 12 and parsed["skipped_bytes"] == 0
+
+
+def test_op5_columns(spark):
+    rows = [(1, b"".join(layer3(4)), "x"), (2, None, "x"), (3, b"", None), (4, bytes(100), "x"), (1, b"".join(layer3(4)), "x")]
+    got = [r.asDict() for r in mpeg_audio.annotate(spark.createDataFrame(rows, "k long, m binary, layer string"), "k", "m").collect()]
+    assert [r["frames"] for r in sorted(got, key=lambda r: r["id"])] == [4, 4, 0, 0, 0] and all(len(r["seek"]) == r["frames"] for r in got)
+    assert mpeg_audio.annotate(spark.createDataFrame([], "k long, m binary"), "k", "m").count() == 0
+
+
 def test_op6_base_and_more(spark, folder):
     kinds = {"assign": (secrets_scan.ASSIGN, lambda m: len(m[2]) >= 8), "access": (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16), "hex": (r"[0-9a-f]+", lambda m: len(m[0]) >= 32)}
     rows = run(spark, "op6_secret_scans", folder)
