@@ -53,7 +53,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [("toxicity", reject_toxic), ("ngram_jaccard_join", one_of_near_copies), ("secret_scans", redact_secrets), ("best_fit_packing", pack_sequences)]
 
-#: No stage but the third could be put into SQL; tests hold each against a plain version.
+#: No stage but the third could be put into SQL. tests/llm checks which near copies stay and what is redacted, the other two stages by their row counts only.
 ORACLE_SQL = None
 
 
