@@ -13,7 +13,6 @@ a change is possible; there is no other limit.
 from __future__ import annotations
 
 import functools
-import gc
 import json
 import os
 import re
@@ -23,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -31,39 +31,51 @@ from pyspark.sql import functions as F
 from pathlens.llm.common import blocks, checkpointed, utf8
 
 CAPACITY, END_ID, GROUP_ROWS = 4096, 1, 20_000
-CACHE_ENTRIES, BLOCK_BYTES = 150_000, 4 << 20
+CACHE_ENTRIES, BLOCK_BYTES = 400_000, 8 << 20
 #: Pieces that are encoded together.
 TOGETHER = 256
 #: Chunks of printable characters up to U+024F, of which each keeps its class in lower case and none is composed.
 _PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]+")
+#: Among these, words of letters, and words with a digit or mark after them.
+_WORD = "^[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+"
+
+
+def _blobs(offsets: np.ndarray, data) -> pa.Array:
+    """A binary array of the ranges between offsets."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(data)])
 
 
 class WordEncoder:
-    """Ids by the tokenizers library, of texts cut at ASCII white space, with bounded caches.
+    """Ids by the tokenizers library, of texts cut at ASCII white space, with a bounded cache.
 
     The vocabulary's normaliser and splitter never join text across white space and map case
     first, so the ids of a text are those of its lower-cased chunks, one after another. A chunk of
-    plain characters is cut further by the splitter's own pattern, so "word" and "word," share the
-    ids of "word"; each such piece ends with the one token that has the end mark. Chunks are kept in
-    two generations: when the young one is full it becomes the old one, and what is used again moves
-    back.
+    plain characters is cut further as the splitter's own pattern does, so "word" and "word," share
+    the ids of "word"; each such piece ends with the one token that has the end mark. Arrow cuts a block of
+    texts, numbers its distinct chunks and pieces and puts their ids in the texts' order; only pieces
+    that the cache lacks are encoded. When the cache is full, the pieces of the last block stay. The
+    vocabulary's added tokens are found in a whole text before it is cut, so a text with one of them
+    is encoded whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit, Sequence
 
         self.tokenizer = Tokenizer.from_file(path)
+        # The same model, for lower-cased pieces with a space between them: nothing to normalise or to split is left.
+        self.quick = Tokenizer(self.tokenizer.model)
+        self.quick.pre_tokenizer = Sequence([CharDelimiterSplit(" "), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         made = json.loads(self.tokenizer.to_str())
         self.mark = made["model"]["end_of_word_suffix"]
         self.split = regex.compile(next(x["pattern"]["Regex"] for x in made["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")).findall
+        self.added = [x["content"] for x in made["added_tokens"]]
         ends = [k for token, k in self.tokenizer.get_vocab().items() if token.endswith(self.mark)]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[ends] = True
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.known, self.values = pa.array([], pa.string()), pa.array([], pa.large_binary())
 
     @classmethod
     @functools.cache
@@ -73,65 +85,97 @@ class WordEncoder:
     def coded(self, texts: list[str]) -> list[bytes]:
         return [np.array(found.ids, "<u4").tobytes() for found in self.batch(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: list[str]) -> None:
-        """Ids of new pieces, many in one call; where a piece has other than one end, each alone."""
-        joined = [" ".join(pieces[k : k + TOGETHER]) for k in range(0, len(pieces), TOGETHER)]
-        for k, found in enumerate(self.batch(joined, add_special_tokens=False)):
-            group, ids = pieces[k * TOGETHER : (k + 1) * TOGETHER], np.array(found.ids, "<u4")
-            last = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+    def learn(self, pieces: list[str]) -> pa.Array:
+        """Ids of plain pieces, many in one call; where a piece has other than one end, each alone."""
+        groups = [pieces[k : k + TOGETHER] for k in range(0, len(pieces), TOGETHER)]
+        sizes, data = [np.zeros(1, np.int64)], []
+        batch = getattr(self.quick, "encode_batch_fast", self.quick.encode_batch)
+        for group, found in zip(groups, batch([" ".join(g).lower() for g in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
             if len(last) == len(group) and last[-1] == len(ids):
-                raw = ids.tobytes()
-                self.pieces.update((x, raw[4 * a : 4 * b]) for x, a, b in zip(group, [0, *last], last))
+                sizes.append(np.diff(last, prepend=0) * 4)
+                data.append(ids.tobytes())
             else:
-                self.pieces.update(zip(group, self.coded(group)))
-
-    def fill(self, chunks: list[bytes]) -> None:
-        """Ids of chunks that no generation has."""
-        plain: list[tuple[bytes, list[str]]] = []
-        other: list[bytes] = []
-        fresh: dict[str, None] = {}
-        known = self.pieces = {} if len(self.pieces) > 2 * CACHE_ENTRIES else self.pieces
-        for chunk in chunks:
-            text = chunk.decode()
-            if not _PLAIN.fullmatch(text):
-                other.append(chunk)
-                continue
-            cut = [text] if text.isalpha() else self.split(text)
-            plain.append((chunk, cut))
-            for x in cut:
-                if x not in known:
-                    fresh[x] = None
-        self.learn(list(fresh))
-        self.young.update([(chunk, known[cut[0]] if len(cut) == 1 else b"".join([known[x] for x in cut])) for chunk, cut in plain])
-        self.young.update(zip(other, self.coded([x.decode() for x in other])))
+                each = self.coded(group)
+                sizes.append(np.array([len(x) for x in each]))
+                data += each
+        return _blobs(np.cumsum(np.concatenate(sizes)), b"".join(data))
+
+    def looked_up(self, pieces: pa.Array) -> pa.Array:
+        """Ids of distinct pieces, by the cache."""
+        at = pc.index_in(pieces, value_set=self.known)
+        fresh = pieces.filter(at.is_null())
+        values = pa.concat_arrays([self.values, self.learn(fresh.to_pylist())])
+        place = at.to_numpy(zero_copy_only=False).copy() if not at.null_count else at.fill_null(-1).to_numpy().copy()
+        place[place < 0] = np.arange(len(self.known), len(values))
+        found = values.take(pa.array(place))
+        self.known, self.values = (pieces, found) if len(values) > CACHE_ENTRIES else (pa.concat_arrays([self.known, fresh]), values)
+        return found
+
+    def chunks(self, distinct: pa.Array) -> pa.Array:
+        """Ids of distinct chunks."""
+        word = pc.match_substring_regex(distinct, _WORD + "$").to_numpy(zero_copy_only=False)
+        marked = pc.match_substring_regex(distinct, _WORD + "[!-@\\[-`{-~]$").to_numpy(zero_copy_only=False)
+        rest = np.flatnonzero(~word & ~marked)
+        odd, cut, other, whole = [], [], [], []
+        for k, chunk in zip(rest.tolist(), distinct.take(pa.array(rest)).to_pylist()):
+            if _PLAIN.fullmatch(chunk):
+                odd.append(k)
+                cut.append(self.split(chunk))
+            else:
+                other.append(k)
+                whole.append(chunk)
+        words, both = distinct.filter(pa.array(word)), distinct.filter(pa.array(marked))
+        n, m = len(words), len(both)
+        # Pieces of all chunks: words, then words and marks in turn, then those of other plain chunks.
+        stems = pc.utf8_slice_codeunits(both, 0, -1)
+        turns = pa.concat_arrays([stems, pc.utf8_slice_codeunits(both, -1, None)]).take(pa.array(np.arange(2 * m).reshape(2, m).T.ravel()))
+        flat = pa.concat_arrays([words, turns, pa.array([x for parts in cut for x in parts], pa.string())]).dictionary_encode()
+        ends, data = utf8(self.looked_up(flat.dictionary).take(flat.indices))
+        edges = np.concatenate([np.arange(n), n + 2 * np.arange(m), n + 2 * m + np.cumsum([0, *map(len, cut)])])
+        found = pa.concat_arrays([_blobs(ends[edges], data), pa.array(self.coded(whole), pa.large_binary())])
+        back = np.empty(len(distinct), np.int64)
+        back[np.concatenate([np.flatnonzero(word), np.flatnonzero(marked), np.array(odd + other, np.int64)])] = np.arange(len(distinct))
+        return found.take(pa.array(back))
+
+    def encoded(self, texts: pa.Array) -> tuple[np.ndarray, memoryview]:
+        """(where each text's ids begin and the last ones end, in bytes; little-endian unsigned 32-bit ids) of a string array; a null counts as empty."""
+        if not len(texts):
+            return np.zeros(1, np.int64), memoryview(b"")
+        texts = texts.cast(pa.string())
+        texts = texts.fill_null("") if texts.null_count else texts
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        found = split.flatten().dictionary_encode()
+        ends, data = utf8(self.chunks(found.dictionary).take(found.indices))
+        edges = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        special = np.zeros(len(texts), bool)
+        for token in self.added:
+            special |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if special.any():
+            parts = [bytes(data[a:b]) for a, b in zip(edges, edges[1:])]
+            rows = np.flatnonzero(special).tolist()
+            for k, raw in zip(rows, self.coded([texts[k].as_py() for k in rows])):
+                parts[k] = raw
+            edges, data = np.cumsum([0, *map(len, parts)]), memoryview(b"".join(parts))
+        return edges, data
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.young) > CACHE_ENTRIES:
-            self.old, self.young = self.young, {}
-        split = [t.lower().split() for t in texts]
-        lacking = set().union(*split) - self.young.keys()
-        again = [c for c in lacking if c in self.old]
-        self.young.update(zip(again, map(self.old.__getitem__, again)))
-        gc.disable()  # many small objects, and no cycles among them
-        try:
-            self.fill(list(lacking.difference(again)))
-        finally:
-            gc.enable()
-        known = self.young.__getitem__
-        return [b"".join(map(known, chunks)) for chunks in split]
+        edges, data = self.encoded(pa.array(texts, pa.binary()).cast(pa.string()))
+        return [bytes(data[a:b]) for a, b in zip(edges, edges[1:])]
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
     encoder, end, size = WordEncoder.load(path), np.array([end_id], "<u4").tobytes(), 4 * capacity
     serial = TaskContext.get().partitionId() << 40 if TaskContext.get() else 0
     for batch in batches:
-        offsets, data = utf8(batch.column(1))
+        offsets, _ = utf8(batch.column(1))
         for low, high in blocks(offsets, BLOCK_BYTES):
-            texts = [bytes(data[a:b]) for a, b in zip(offsets[low:high], offsets[low + 1 : high + 1])]
             rows, piece, start, length, crc, kept = [], [], [], [], [], []
-            for k, coded in enumerate(encoder.ids(texts)):
-                coded += end
+            edges, ids = encoder.encoded(batch.column(1).slice(low, high - low))
+            for k, (first, last) in enumerate(zip(edges.tolist(), edges[1:].tolist())):
+                coded = bytes(ids[first:last]) + end
                 for n, at in enumerate(range(0, len(coded), size)):
                     part = coded[at : at + size] if len(coded) > size else coded
                     rows.append(low + k)
@@ -182,63 +226,75 @@ class Search:
     """Local search: which bin holds each document, and the changes that bring a bin's documents into fuller ones."""
 
     def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
-        self.bins, self.size, self.capacity = [list(b) for b in bins], np.array(lengths, np.int64), capacity
+        self.bins, self.size, self.capacity = [list(b) for b in bins], np.array(lengths, np.int32), capacity
         self.bin_of = np.zeros(len(lengths), np.int64)
         for t, members in enumerate(self.bins):
             self.bin_of[members] = t
         self.fill = np.bincount(self.bin_of, weights=self.size, minlength=len(self.bins)).astype(np.int64)
+        #: Of each document: the most that may take its place in its bin, and the bin's fill.
+        self.near = self.fill[self.bin_of].astype(np.int32)
+        self.most = (self.size + self.capacity - self.near).astype(np.int32)
 
     def change(self, s: int) -> bool:
         """Makes the change that shifts most tokens out of bin s into another underfull one; whether there was one.
 
         A shift d from s to t changes the sum of squared fills by 2d(t - s + d), so d must be above
         s - t and not above the gap of t. For each document b that may come back, the largest
-        documents or pairs x of s with x - b within the gap are found by bisection.
+        documents or pairs x of s with x - b within the gap are read from a table.
         """
-        own = self.bins[s]
+        own, mine = self.bins[s], int(self.fill[s])
         gap = np.where(self.fill > 0, self.capacity - self.fill, 0)
         gap[s] = 0
-        least = np.maximum(self.fill[s] - self.fill, 0)
         ones = {int(self.size[k]): (k,) for k in own}
         pairs = {int(self.size[i] + self.size[j]): (i, j) for n, i in enumerate(own) for j in own[:n]}
         best, found = 0, ((), (), -1)
 
-        def offer(outs: dict, back: np.ndarray, room: np.ndarray, above: np.ndarray) -> int:
-            """Where the largest shift is, or -1: x - back within room and over above."""
+        def offer(outs: dict, back: np.ndarray | int, most: np.ndarray, fill: np.ndarray) -> int:
+            """Where the largest shift x - back is, or -1: x up to most, the other bin then over the fill of s."""
             nonlocal best
-            if not outs or not len(back):
+            if not outs or not len(most):
                 return -1
-            x = np.array(sorted(outs), np.int64)
-            at = np.searchsorted(x, back + room, side="right") - 1
-            shift = np.where(at >= 0, x[at], 0) - back
-            shift[shift <= above] = 0
+            x = np.zeros(self.capacity + 1, np.int32)  # the largest of outs up to each number
+            keys = [n for n in outs if n <= self.capacity]
+            x[keys] = keys
+            np.maximum.accumulate(x, out=x)
+            shift = x[most] - back
+            shift[shift + fill <= mine] = 0
             k = int(shift.argmax())
             if shift[k] <= best:
                 return -1
             best = int(shift[k])
             return k
 
-        none = np.zeros(len(self.fill), np.int64)
-        if (t := offer(ones, none, gap, least)) >= 0:
+        if (t := offer(ones, 0, gap, self.fill)) >= 0:
             found = (ones[best], (), t)
-        if (k := offer(pairs | ones, self.size, gap[self.bin_of], least[self.bin_of])) >= 0:
+        self.most[own] = 0
+        if (k := offer(pairs | ones, self.size, self.most, self.near)) >= 0:
             x = best + int(self.size[k])
             found = (ones.get(x) or pairs[x], (k,), int(self.bin_of[k]))
         if not best:
             first, second = self._pairs(gap)
-            if (p := offer(ones, self.size[first] + self.size[second], gap[self.bin_of[first]], least[self.bin_of[first]])) >= 0:
+            both = self.size[first] + self.size[second]
+            if (p := offer(ones, both, both + gap[self.bin_of[first]], self.near[first])) >= 0:
                 k, j = int(first[p]), int(second[p])
-                found = (ones[best + int(self.size[k] + self.size[j])], (k, j), int(self.bin_of[k]))
-        if not best:
-            return False
-        out, back, t = found
-        self.bins[s] = [k for k in own if k not in out] + list(back)
-        self.bins[t] = [k for k in self.bins[t] if k not in back] + list(out)
-        self.bin_of[list(out)] = t
-        self.bin_of[list(back)] = s
-        self.fill[s] -= best
-        self.fill[t] += best
-        return True
+                found = (ones[best + int(both[p])], (k, j), int(self.bin_of[k]))
+        if best:
+            out, back, t = found
+            self.bins[s] = [k for k in own if k not in out] + list(back)
+            self.bins[t] = [k for k in self.bins[t] if k not in back] + list(out)
+            self.bin_of[list(out)] = t
+            self.bin_of[list(back)] = s
+            self.fill[s] -= best
+            self.fill[t] += best
+            self._note(t)
+        self._note(s)
+        return best > 0
+
+    def _note(self, t: int) -> None:
+        """What `most` and `near` have for the documents of bin t."""
+        members = self.bins[t]
+        self.near[members] = self.fill[t]
+        self.most[members] = self.size[members] + (self.capacity - self.fill[t])
 
     def _pairs(self, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The documents of all pairs that stand together in an underfull bin."""

@@ -495,6 +495,23 @@ def test_op8_encoder_generations(monkeypatch):
         assert own.ids([t.encode() for t in texts]) == expected
 
 
+def test_op8_added_tokens_and_all_plain_characters():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coder, own = tokenizers.Tokenizer.from_file(path), packing.WordEncoder(path)
+    each = [chr(c) for c in range(33, 0x250)]
+    texts = ["a<|endoftext|>b c", "<|startoftext|>", "<|ENDOFTEXT|> x", "plain, text", " ".join(f"{c} a{c} {c}a a{c}b" for c in each), " ".join(each), "", "\n x \t"]
+    expected = [b"".join(i.to_bytes(4, "little") for i in coder.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert own.ids([t.encode() for t in texts]) == expected
+
+
+def test_op8_marked_words_are_not_split_one_by_one():
+    own = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    calls, split = [], own.split
+    own.split = lambda x: calls.append(x) or split(x)
+    own.ids([" ".join(f"{a}{b}{c}" for a in VOCAB for b in VOCAB for c in (",", "", ".")).encode()])
+    assert not calls
+
+
 def test_op9_base_and_normalisation(spark, folder):
     words = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)), None]
     ids = [*range(len(TEXTS)), None]
