@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathlens.llm.common import blocks, checkpointed, utf8
+from pathlens.llm.common import blocks, checkpointed, lean, utf8
 
 WORDS, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.999, 220
 #: Classes in one block of a candidate group, and bytes of text that are hashed at a time.
 BLOCK_CLASSES, BLOCK_BYTES = 512, 1 << 20
+#: Rows in one file of a table of edges or labels, unless there are fewer files than cores.
+FILE_ROWS = 100_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -151,6 +153,7 @@ def set_keys(gram: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return pair
 
 
+@lean
 def _hashed(batches: Iterator[pa.RecordBatch], words: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         offsets, data = utf8(batch.column(1))
@@ -175,6 +178,7 @@ def _packed(keys: np.ndarray) -> list[bytes]:
     return [raw[k : k + 16] for k in range(0, len(raw), 16)]
 
 
+@lean
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         offsets, data = utf8(batch.column(1))
@@ -184,6 +188,11 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([pa.array(_packed(set_keys(gram, at)), pa.binary()), pa.array([raw[a:b] for a, b in zip(at8, at8[1:])], pa.binary())], ["node", "set"])
 
 
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """`df`, of `rows` rows at most, in no more partitions than these need: each file of a checkpoint starts a process beside the executor."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
+
+
 def contract(pairs: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): the same root for connected nodes.
 
@@ -194,19 +203,21 @@ def contract(pairs: DataFrame) -> DataFrame:
     """
     edges = checkpointed(pairs.select("a", "b").filter(F.col("a") != F.col("b")).distinct())
     labels, rounds = edges.select(F.col("a").alias("node"), F.col("b").alias("root")), 0
-    while not edges.isEmpty():
+    first = rows = edges.count()
+    while rows:
         rank = lambda c: F.struct((F.xxhash64(c, F.lit(rounds)) if rounds else F.lit(0).cast("long")).alias("h"), c.alias("n"))
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("near")))
         least = both.groupBy("node").agg(F.min(rank(F.col("near"))).alias("m")).select("node", F.least("m", rank(F.col("node"))).alias("m"))
         second = both.join(least.select(F.col("node").alias("near"), "m"), "near").groupBy("node").agg(F.min("m").alias("m"))
-        hook = checkpointed(second.select("node", F.least("m", rank(F.col("node")))["n"].alias("to")))
+        hook = checkpointed(_few(second.select("node", F.least("m", rank(F.col("node")))["n"].alias("to")), 2 * rows))
         moved = edges.join(hook.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(hook.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
-        edges = checkpointed(moved.filter(F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        edges = checkpointed(_few(moved.filter(F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), rows))
         if rounds:
             later = hook.select(F.col("node").alias("root"), "to")
-            labels = checkpointed(labels.join(later, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+            labels = checkpointed(_few(labels.join(later, "root", "left").select("node", F.coalesce("to", "root").alias("root")), 2 * first))
         else:
             labels = hook.select("node", F.col("to").alias("root"))
+        rows = edges.count()
         rounds += 1
     return labels
 

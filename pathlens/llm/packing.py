@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathlens.llm.common import blocks, checkpointed, utf8
+from pathlens.llm.common import blocks, checkpointed, lean, trim, utf8
 
 CAPACITY, END_ID, GROUP_ROWS = 4096, 1, 20_000
 CACHE_ENTRIES, BLOCK_BYTES = 400_000, 8 << 20
@@ -166,6 +166,7 @@ class WordEncoder:
         return [bytes(data[a:b]) for a, b in zip(edges, edges[1:])]
 
 
+@lean
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
     encoder, end, size = WordEncoder.load(path), np.array([end_id], "<u4").tobytes(), 4 * capacity
     serial = TaskContext.get().partitionId() << 40 if TaskContext.get() else 0
@@ -360,6 +361,7 @@ def _pack_group(key: tuple, group: pd.DataFrame, capacity: int) -> pd.DataFrame:
         for k in members:
             sequence[k], offset[k] = (int(key[0]) << 32) + n, at
             at += lengths[k]
+    trim()
     return group.assign(sequence_id=sequence, offset=offset)
 
 

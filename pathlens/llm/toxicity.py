@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathlens.llm.byte_bpe import LETTER, NUMBER, _classes
-from pathlens.llm.common import blocks, checkpointed, split_residue, typed, utf8
+from pathlens.llm.common import blocks, checkpointed, lean, split_residue, typed, utf8
 from pathlens.llm.ngram_join import shingles, signatures
 
 #: The bound of the labelled sample that the classifier is fitted on.
@@ -250,6 +250,7 @@ def _beginnings(text: str) -> set[str]:
     return out
 
 
+@lean
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         offsets, data = utf8(batch.column(1))
@@ -261,6 +262,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate(r) if r else np.zeros(0, np.int64)) for r in rows)], ["row", "m0", "m1", "m2", "m3"])
 
 
+@lean
 def _counted(batches: Iterator[pa.RecordBatch], kept: frozenset) -> Iterator[pa.RecordBatch]:
     """Partial counts of beginnings by label, over the kept rows of this task."""
     toxic, clean = Counter(), Counter()
@@ -312,6 +314,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.n
     return beta[:-1], float(beta[-1])
 
 
+@lean
 def _sample_features(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1).to_pylist()
@@ -367,6 +370,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model
 
 
+@lean
 def _scored(batches: Iterator[pa.RecordBatch], model: Model, field: str | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         offsets, data = utf8(pc.struct_field(batch.column(0), field) if field else batch.column(1))

@@ -717,6 +717,46 @@ def test_empty_tables(spark, docs, tmp_path, name):
     assert run(spark, name, str(tmp_path)) == []
 
 
+def test_pipeline_workers_give_memory_back():
+    """After a task a worker holds little more than before it: it lives on beside the next stages."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = """
+import random, re
+import numpy, pandas, pyarrow as pa, public_tokenizers
+from pathlens.llm import ngram_join, packing
+held = lambda: sum(map(int, re.findall(r"Pss_Anon: +([0-9]+)", open("/proc/self/smaps_rollup").read()))) / 1024
+dealt, path = random.Random(3), public_tokenizers.path("word_bpe_49k.json")
+letters = "abcdefghijklmnopqrstuvwxyz"
+def batches(rows):
+    yield pa.record_batch([pa.array(range(rows)), pa.array([" ".join("".join(dealt.choices(letters, k=6)) for _ in range(250)) for _ in range(rows)])], ["id", "text"])
+for rows in (1, 4000):
+    before = held()
+    for _ in packing._pieces(batches(rows), path, 4096, 1, False): pass
+    for _ in ngram_join._hashed(batches(rows), 5, 19, 11): pass
+print(held() - before)
+"""
+    root = Path(packing.__file__).resolve().parents[2]
+    more = float(subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True, timeout=120).stdout.split()[-1])
+    assert more < 80
+
+
+def test_pipeline_small_edges_take_few_files(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(ngram_join, "checkpointed", lambda df, real=ngram_join.checkpointed: made.append(out := real(df)) or out)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "97")
+    try:
+        roots = ngram_join.contract(spark.createDataFrame([(k, k + 1) for k in range(0, 40) if k % 10 != 9], "a long, b long")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert len({r["root"] for r in roots}) == 4 and len(roots) == 40
+    assert max(df.rdd.getNumPartitions() for df in made[1:]) <= spark.sparkContext.defaultParallelism
+
+
 def test_pipeline_stages(spark, folder, docs):
     rows = docs.drop("id", "spans", "key")
     kept = corpus_pipeline.one_of_near_copies(spark, rows, folder)
