@@ -172,6 +172,23 @@ def shards_of(rows, size):
     return made, mean, (np.array(edges), np.array(terms, np.int64).view(np.uint64), np.array(weights))
 
 
+def test_op2_later_levels_work_on_candidates_only(monkeypatch):
+    """With a threshold, the levels after the first bound look at candidates and not at all texts of a shard; results are those without one."""
+    import numpy as np
+
+    dealt = random.Random(6)
+    rows = [(k, " ".join(dealt.choices(VOCAB, weights=range(1, len(VOCAB) + 1), k=40)) + f" own{k // 4}") for k in range(2000)]
+    made, mean, (edges, terms, weights) = shards_of(rows, 5000)
+    shard = bm25.Shard(made[0], mean, bm25.K1, bm25.B)
+    whole = [(t.tolist(), s) for t, s, _ in shard.search(edges, terms, weights, 4)]
+    looked, real = [], np.partition
+    monkeypatch.setattr(np, "partition", lambda a, *more: looked.append(len(a)) or real(a, *more))
+    again = [(t.tolist(), s) for t, s, _ in shard.search(edges, terms, weights, 4, np.array([s.min() for _, s in whole]))]
+    for (t, s), (u, v) in zip(whole, again):
+        assert sorted(t) == sorted(u) and np.allclose(np.sort(s), np.sort(v))
+    assert sum(looked) < 2.5 * len(rows) * len(whole)
+
+
 def test_op2_pruning_skips_postings():
     import duckdb
     import numpy as np
